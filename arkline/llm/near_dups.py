@@ -9,7 +9,8 @@ collection is the key of one table.  So M * M tables of 2 K values need 2 M K va
    of a bucket are listed.  Links are verified on the full sets, and components found.
 4. Buckets whose members are in different components may hide links between them.  Their members are searched exactly: in the
    order of a counting sketch, two sets that are similar enough share one of their rarest shingles (a prefix filter; any
-   total order is exact, the sketch only makes it selective).  Shingles that nobody shares are not listed.
+   total order is exact, the sketch only makes it selective).  Shingles that nobody shares are not listed, and pairs that exact
+   bounds rule out are not made.
 
 A link is lost only if no table holds its pair: with J = 0.75, M = 12 and K = 2 the chance is below 1e-4, and less above.
 
@@ -32,6 +33,8 @@ M, K = 12, 2
 PERCENT = 75
 #: Counters of the sketch: a fixed size, whatever the input.
 SKETCH = 1 << 19
+#: Parities of a set in 64-bit words: a bound on how many elements two sets differ in.
+WORDS = 16
 
 
 def signatures(docs: DataFrame, m: int = M, k: int = K) -> DataFrame:
@@ -106,21 +109,41 @@ def counted(texts: DataFrame) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """cls and those of its rarest shingles (a prefix in the sketch's order) that somebody may share."""
+    """cls, n (its set's size), key and at (those of its rarest shingles, a prefix in the sketch's order, that somebody may
+    share, and their places in that order), and w0... (the parities of WORDS x 64 shares of the set)."""
+    names = [f"w{k}" for k in range(WORDS)]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = []
+            n, keys, places, words = [], [], [], []
             for x in hashed(batch.column(1).to_pylist()):
                 x = np.unique(x)
                 count = sketch[(x % U(SKETCH)).astype(np.int64)]
                 first = np.lexsort((x, count))[: len(x) - -(-percent * len(x) // 100) + 1]
-                keys.append(x[first[count[first] > 1]].view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["cls", "keys"])
+                at = np.flatnonzero(count[first] > 1)
+                n.append(len(x))
+                keys.append(x[first[at]].view(np.int64))
+                places.append(at)
+                odd = np.bincount((mixed(x) % U(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+                words.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            words = np.array(words)
+            longs = pa.list_(pa.int64())
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, longs), pa.array(places, longs), *[pa.array(words[:, k]) for k in range(WORDS)]]
+            return pa.RecordBatch.from_arrays(columns, ["cls", "n", "keys", "places", *names])
 
         return each
 
-    return arrow_map(texts.select("cls", "text"), make, "cls binary, keys array<long>").select("cls", F.explode("keys").alias("key"))
+    rows = arrow_map(texts.select("cls", "text"), make, "cls binary, n long, keys array<long>, places array<long>, " + ", ".join(f"{w} long" for w in names))
+    return rows.select("cls", "n", *names, F.explode(F.arrays_zip("keys", "places")).alias("k")).select("cls", "n", *names, F.col("k.keys").alias("key"), F.col("k.places").alias("at"))
+
+
+def may_link(percent: int) -> str:
+    """Whether the sets of x and y can be similar enough, as the condition of a join on a shared prefix shingle; exact bounds,
+    so no link is lost.  At the first shingle that two prefixes share, what may be common is bounded by what follows it in
+    both; and sets differ at least in as many elements as their parities do."""
+    need = f"{percent} * (x.n + y.n)"  # common * (100 + percent) must reach it
+    apart = " + ".join(f"bit_count(x.w{k} ^ y.w{k})" for k in range(WORDS))
+    return f"x.comp < y.comp and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {need} and {100 + percent} * (x.n + y.n - ({apart})) >= 2 * {need}"
 
 
 def grouped(docs: DataFrame, m: int = M, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -154,8 +177,8 @@ def grouped(docs: DataFrame, m: int = M, k: int = K, percent: int = PERCENT) ->
         # members of one component are known to be linked: a shingle's members are met with those of other components only
         mixed_keys = rare.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         both = rare.join(mixed_keys, "key", "left_semi")
-        more = both.join(both.select("key", F.col("cls").alias("cls2"), F.col("comp").alias("comp2")), "key").where("comp < comp2")
-        more = more.select(F.least("cls", "cls2").alias("u"), F.greatest("cls", "cls2").alias("v")).distinct()
+        more = both.alias("x").join(both.alias("y"), F.expr(f"x.key = y.key and {may_link(percent)}"))
+        more = more.select(F.least("x.cls", "y.cls").alias("u"), F.greatest("x.cls", "y.cls").alias("v")).distinct()
         more = verified(more.join(pairs, ["u", "v"], "left_anti"), texts, percent)
         bridges = staged(found.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more), "bridges")
         found = staged(components(bridges), "found")
