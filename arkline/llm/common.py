@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,6 +90,22 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+#: The columns of documents that operators read; an operator that keeps columns renames all others while it works.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeping_columns(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets ``f(docs, ...)``, which returns the columns it gets, work beside extra columns of any names."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names = docs.columns
+        inner = docs.toDF(*[n if n in DOCUMENT else f"_extra{i}" for i, n in enumerate(names)])
+        return f(inner, *args, **options).toDF(*names)
+
+    return run
+
+
 def wide(spark: SparkSession, least: int = 1) -> int:
     """Partitions to deal rows over: the session's number of shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, keeping_columns, staged
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Batches of documents, and runs of a level that are merged into one of the next.
@@ -122,6 +122,7 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept_text().cast("binary"), 256).alias("kept_sha256"))
 
 
+@keeping_columns
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their remaining text; n_chars, where there is one, follows it."""
     out = _kept(docs, dropped_lines(docs))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import keeping_columns, staged
 
 # The default target weights.  Sources of a language share its weight evenly.
 DOMAINS = {"web": 0.4, "code": 0.1, "books": 0.3, "news": 0.2, "other": 0.1}
@@ -125,6 +125,12 @@ def mixed(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS, see
     return copies.select(*docs.columns, "_domain", "_tokens", "_epoch")
 
 
+@keeping_columns
+def selected(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, once for each time that they are in it, with their own columns."""
+    return mixed(docs, **options).select(*docs.columns)
+
+
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """doc_id, domain, lang, source, tokens and epoch of each time that a document is in the mix."""
     out = mixed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"), **options)

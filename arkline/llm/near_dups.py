@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_staged, staged
+from .common import arrow_map, drop_staged, keeping_columns, staged
 from .components import components
 from .shingles import MinHash, U, hashed, mixed
 
@@ -148,6 +148,10 @@ def may_link(percent: int) -> str:
 
 def grouped(docs: DataFrame, m: int = M, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of documents."""
+    return _grouped(docs, m, k, percent).drop("th")
+
+
+def _grouped(docs: DataFrame, m: int, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     sig = staged(signatures(docs.select("doc_id", "th", "text"), m, k), "signatures")
     classes = staged(sig.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
@@ -187,12 +191,14 @@ def grouped(docs: DataFrame, m: int = M, k: int = K, percent: int = PERCENT) ->
     of_class = parts.join(least, "root").select("cls", "component_id")
     for t in (tabled, texts, links):
         drop_staged(t)
-    out = sig.select("doc_id", "n", "cls").join(of_class, "cls", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sig.select("doc_id", "th", "n", "cls").join(of_class, "cls", "left")
+    out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+@keeping_columns
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without those that a smaller doc_id of their component stands for; null doc_ids stay."""
-    gone = grouped(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = _grouped(docs, M, K, percent).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_th"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

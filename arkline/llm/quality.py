@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, BATCH_ROWS, arrow_map
+from .common import BATCH_BYTES, BATCH_ROWS, arrow_map, keeping_columns, staged
 
 #: Labelled rows that are fitted at most, cosines, ridge weight, partitions that sum, and the share kept for calibration.
 SAMPLE, COSINES, RIDGE, PARTS, CALIBRATION = 40_000, 320, 1.0, 12, 4
@@ -96,10 +96,10 @@ def cosines(x: np.ndarray) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising levels of y over x by pooling adjacent violators; blocks of at least 1 % of the rows to begin with."""
+    """Rising levels of y over x by pooling adjacent violators; at most 200 blocks to begin with, of 5 rows or more."""
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []
-    for part in np.array_split(order, max(1, min(100, len(x) // 20))):
+    for part in np.array_split(order, max(1, min(200, len(x) // 5))):
         blocks.append([len(part), y[part].mean(), x[part].mean()])
         while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
             (n, u, s), (m, v, t) = blocks[-2:]
@@ -128,8 +128,6 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         return each
 
-    from .common import staged
-
     part = F.pmod(F.xxhash64("_of", F.lit(5)), F.lit(CALIBRATION * PARTS)).cast("int")
     rows = staged(arrow_map(joined.select("text", "_y", part.alias("part")), make, "x array<double>, y int, part int"), "statistics")
 
@@ -186,6 +184,7 @@ def qualities(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
+@keeping_columns
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
     return scored(docs, fitted(docs, labels)).where(F.col("_score") >= threshold).drop("_score")
