@@ -238,11 +238,11 @@ def semantic_node_filter(spark: SparkSession, d: str) -> DataFrame:
     return semantic.node_filter(table(spark, d, "documents"), F.col("lang") == "en", " THERING ", "text").select("doc_id", "source")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND contains(lower(p_name), '7')) OR EXISTS (SELECT 1 FROM part WHERE p_partkey = l_suppkey AND contains(lower(p_name), '7'))")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND contains(lower(p_name), 'ring')) OR EXISTS (SELECT 1 FROM part WHERE p_partkey = l_suppkey AND contains(lower(p_name), 'ring'))")
 def semantic_relation_semi(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     lines = lines.withColumn("id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    nodes = semantic.node_filter(table(spark, d, "part"), None, "7", "p_name")
+    nodes = semantic.node_filter(table(spark, d, "part"), None, "ring", "p_name")
     return semantic.touching(lines, "id", ["l_partkey", "l_suppkey"], nodes, "p_partkey").select("l_orderkey", "l_linenumber")
 
 
