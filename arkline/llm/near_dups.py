@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_staged, keeping_columns, staged
+from .common import arrow_map, drop_staged, keeping_columns, staged, wide
 from .components import components
 from .shingles import MinHash, U, hashed, mixed
 
 M, K = 12, 2
 PERCENT = 75
-#: Counters of the sketch: a fixed size, whatever the input.
-SKETCH = 1 << 19
+#: Counters of the sketch, a fixed size whatever the input, and chunks that they are sent in.
+SKETCH, CHUNKS = 1 << 22, 256
 #: Parities of a set in 64-bit words: a bound on how many elements two sets differ in.
 WORDS = 16
 
@@ -90,22 +90,37 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def counted(texts: DataFrame) -> np.ndarray:
-    """A counting sketch of the shingles of ``texts``; the driver gets SKETCH counters at most."""
+    """A counting sketch of the shingles of ``texts``: SKETCH counters of a byte (255: as many or more).
+
+    Each task sends its counters in chunks, which are added up chunk by chunk; the driver gets SKETCH bytes, whatever the input."""
+
+    def rows(chunks):
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()), pa.array([x.tobytes() for _, x in chunks], pa.binary())], ["chunk", "n"])
 
     def count(batches):
-        seen = np.zeros(SKETCH, np.int64)
+        seen = np.zeros(SKETCH, np.uint8)
         for batch in batches:
             for x in hashed(batch.column(0).to_pylist()):
-                np.add.at(seen, (np.unique(x) % U(SKETCH)).astype(np.int64), 1)
-        at = np.flatnonzero(seen)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part])], ["slot", "n"])
-
-    out = np.zeros(SKETCH, np.int64)
-    for slot, n in texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).where("`sum(n)` > 1").collect():
-        out[slot] = n
-    return out
+                slot, n = np.unique((np.unique(x) % U(SKETCH)).astype(np.int64), return_counts=True)
+                seen[slot] = np.minimum(seen[slot] + n, 255)
+        parts = [(c, x) for c, x in enumerate(seen.reshape(CHUNKS, -1)) if x.any()]
+        for i in range(0, len(parts), 16):
+            yield rows(parts[i : i + 16])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[c] = np.minimum(total.get(c, 0) + np.frombuffer(n, np.uint8).astype(np.int64), 255)
+        for c, n in total.items():
+            yield rows([(c, n.astype(np.uint8))])
+
+    schema = "chunk int, n binary"
+    dealt = texts.select("text").mapInArrow(count, schema).repartition(wide(texts.sparkSession), "chunk")
+    out = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint8)
+    for c, n in dealt.mapInArrow(add, schema).collect():
+        out[c] = np.frombuffer(n, np.uint8)
+    return out.reshape(-1)
 
 
 def prefixes(texts: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
