@@ -11,7 +11,8 @@ ROUNDS = 60
 
 
 def _least(e: DataFrame) -> DataFrame:
-    return e.groupBy("u").agg(F.min("v").alias("m"))
+    """The least neighbour of each end.  Written first: the join to it can then be split where an end has very many neighbours."""
+    return staged(e.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large(e: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ def runs_of(keys: DataFrame, batches: int = BATCHES, fan: int = FAN) -> list[Dat
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """d, th and gone (line numbers) of the rows that lose lines."""
     keys = staged(line_keys(docs, least_chars), "lines")
-    frequent = _merged(runs_of(keys)).where(F.col("n_docs") >= least_docs)
+    # written, so that the join to it can be split where a line is in very many documents
+    frequent = staged(_merged(runs_of(keys)).where(F.col("n_docs") >= least_docs), "frequent")
     gone = keys.join(frequent, ["h1", "h2"]).where(F.col("d") < F.col("holder"))
     return gone.groupBy("d", "th").agg(F.collect_set("at").alias("gone"))
 
