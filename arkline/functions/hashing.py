@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NON_REFLECTED = [0] * 256
 for _i in range(256):
@@ -33,7 +34,7 @@ def crc32_plain(data: bytes, start: int = 0xFFFFFFFF, end: int = 0xFFFFFFFF) ->
     return crc ^ end
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def adler32(data: pd.Series) -> pd.Series:
     import zlib
 
@@ -45,7 +46,7 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else canonical(json.loads(t)))
 
@@ -63,7 +64,7 @@ def digest(rows_json: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.count(h).cast("string"), half(1).cast("string"), half(17).cast("string"), half(33).cast("string")).cast("binary"), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_cp932(data: pd.Series) -> pd.Series:
     """Bytes up to the first NUL, read as CP932."""
     return data.map(lambda b: None if b is None else bytes(b).split(b"\0", 1)[0].decode("cp932", "replace"))

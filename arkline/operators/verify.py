@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STATUSES = ["verified", "inspected", "mismatch", "invalid", "failed"]
 
@@ -73,6 +74,6 @@ def wave_report(data: bytes) -> dict:
     return out
 
 
-@F.pandas_udf("valid boolean, warnings array<string>, channels int, rate int, seconds double")
+@F.pandas_udf(T.StructType().add("valid", T.BooleanType()).add("warnings", T.ArrayType(T.StringType())).add("channels", T.IntegerType()).add("rate", T.IntegerType()).add("seconds", T.DoubleType()))
 def wave(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([wave_report(bytes(c)) for c in content], columns=["valid", "warnings", "channels", "rate", "seconds"]).astype({"channels": "Int32", "rate": "Int32"})
