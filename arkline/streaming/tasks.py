@@ -67,7 +67,7 @@ class Tasks:
             self._set(snap.id, progress=progress, message=message)
 
         def run() -> None:
-            self.spark.addTag(snap.id)
+            self.spark.sparkContext.addJobTag(snap.id)
             self._set(snap.id, state="running")
             try:
                 result = work(self.spark, report)
@@ -96,7 +96,7 @@ class Tasks:
 
     def cancel(self, id_: str) -> Snapshot:
         out = self._set(id_, state="cancelled")
-        self.spark.interruptTag(id_)
+        self.spark.sparkContext.cancelJobsWithTag(id_)
         return out
 
     def __iter__(self):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 import zlib
 
 import pytest
@@ -228,6 +229,12 @@ def test_tasks(spark):
     slow = tasks.submit(lambda s, r: s.range(1 << 40).selectExpr("sum(id % 7)").collect())
     assert tasks.wait(slow.id, seconds=0.5).state == "running"
     assert tasks.cancel(slow.id).state == "cancelled" and len(list(tasks)) == 3
+    for _ in range(100):  # its jobs end too
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.1)
+    else:
+        pytest.fail("a cancelled task's job goes on")
 
 
 def test_bmp_is_an_archive_of_one():
