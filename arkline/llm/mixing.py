@@ -72,9 +72,10 @@ def _filled(children: DataFrame, parent: list[str]) -> DataFrame:
 def budgets(leaves: DataFrame, fraction: float, epochs: int, domains: dict[str, float], languages: dict[str, float]) -> DataFrame:
     """domain, lang, source, tokens, budget for each leaf of ``leaves`` (domain, lang, source, tokens)."""
     caps = leaves.withColumn("cap", F.col("tokens") * epochs)
-    total = leaves.agg(F.floor(F.sum("tokens") * F.lit(fraction)).alias("budget"))
-    top = caps.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("name", F.col("domain")).withColumn("weight", _weight("domain", domains)).withColumn("root", F.lit(1))
-    top = _filled(top.join(total.withColumn("root", F.lit(1)), "root"), ["root"]).select("domain", F.col("share").alias("budget"))
+    top = caps.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("_t")).withColumn("name", F.col("domain")).withColumn("weight", _weight("domain", domains))
+    # the whole budget: over one row for each domain
+    top = top.withColumn("root", F.lit(1)).withColumn("budget", F.floor(F.sum("_t").over(Window.partitionBy("root")) * F.lit(fraction)))
+    top = _filled(top, ["root"]).select("domain", F.col("share").alias("budget"))
     mid = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("name", F.col("lang")).withColumn("weight", _weight("lang", languages))
     mid = _filled(mid.join(top, "domain"), ["domain"]).select("domain", "lang", F.col("share").alias("budget"))
     low = caps.withColumn("name", F.col("source")).withColumn("weight", F.lit(1.0)).join(mid, ["domain", "lang"])
