@@ -94,3 +94,13 @@ def companion_named(files: DataFrame, directory: str, name: str, path: str, want
     """(path, companion): the file of a given name beside each file, or null."""
     other = files.where(F.lower(name) == wanted.lower()).select(directory, F.col(path).alias("companion"))
     return files.join(other, directory, "left").select(path, "companion")
+
+
+def companions_by_extension(files: DataFrame, directory: str, ext: str, path: str, wanted: str) -> DataFrame:
+    """(path, companion): the first file of an extension in a file's own folder, else in the folder above; or null."""
+    parent = F.regexp_extract(directory, r"^(.*)/[^/]*$", 1)
+    found = files.where(F.lower(ext) == wanted.lower()).groupBy(directory).agg(F.min(path).alias("_found"))
+    own = found.select(F.col(directory).alias("_own"), F.col("_found").alias("_a"))
+    above = found.select(F.col(directory).alias("_up"), F.col("_found").alias("_b"))
+    out = files.join(own, F.col(directory) == F.col("_own"), "left").join(above, parent == F.col("_up"), "left")
+    return out.select(path, F.coalesce("_a", "_b").alias("companion"))

@@ -42,7 +42,8 @@ class Reader:
     format_id: str
     extensions: tuple[str, ...]
     signatures: tuple[tuple[bytes, int], ...]
-    entries: Callable[[bytes], list[Entry]]
+    #: Of the bytes and the path of a file.
+    entries: Callable[[bytes, str], list[Entry]]
     read: Callable[[bytes, Entry], bytes]
     priority: int = 0
     ext_fallback: bool = False
@@ -71,7 +72,7 @@ def entry(i: int, path: str, size: int, **more) -> Entry:
 # --- 32-byte records with a sentinel
 
 
-def pack32_entries(data: bytes) -> list[Entry]:
+def pack32_entries(data: bytes, path: str = "") -> list[Entry]:  # noqa: ARG001
     """``ADPACK32``: the count includes a last record that only says where the last entry ends."""
     if data[:8] != b"ADPACK32":
         raise InvalidArchive("another signature")
@@ -81,10 +82,10 @@ def pack32_entries(data: bytes) -> list[Entry]:
     records = [struct.unpack("<24s4xI", piece(data, 16 + 32 * i, 32)) for i in range(n)]
     out, end = [], 16 + 32 * n
     for i, ((name, start), (_, after)) in enumerate(zip(records, records[1:], strict=False)):
-        path = name_of(name)
-        if not path.strip() or start < end or after < start or after > len(data):
+        plain = name_of(name)
+        if not plain.strip() or start < end or after < start or after > len(data):
             raise InvalidArchive(f"record {i}")
-        out.append(entry(i, path, after - start, offset=start))
+        out.append(entry(i, plain, after - start, offset=start))
     return out
 
 
@@ -125,7 +126,7 @@ def _blocks(data: bytes) -> Iterator[bytes]:
         at = struct.unpack("<Q", piece(data, end, 8))[0]
 
 
-def xp3_entries(data: bytes) -> list[Entry]:
+def xp3_entries(data: bytes, path: str = "") -> list[Entry]:  # noqa: ARG001
     """``XP3``: File chunks with info, segm and adlr; protected entries are listed as encrypted."""
     if len(data) < 19 or data[:11] != MAGIC3:
         raise InvalidArchive("another signature")
@@ -147,9 +148,9 @@ def xp3_entries(data: bytes) -> list[Entry]:
                 segments.append((method & 7, *rest))
             if sum(s[2] for s in segments) != size or sum(s[3] for s in segments) != packed:
                 raise InvalidArchive("segments that don't add up")
-            path = piece(info, 22, 2 * n).decode("utf-16-le")
+            name = piece(info, 22, 2 * n).decode("utf-16-le")
             sum_ = part.get(b"adlr")
-            out.append(entry(len(out), path, size, packed_size=packed, offset=segments[0][1], compressed=any(s[0] for s in segments), encrypted=bool(flags >> 31), checksum=f"{struct.unpack('<I', sum_[:4])[0]:08x}" if sum_ else None, segments=tuple(segments)))
+            out.append(entry(len(out), name, size, packed_size=packed, offset=segments[0][1], compressed=any(s[0] for s in segments), encrypted=bool(flags >> 31), checksum=f"{struct.unpack('<I', sum_[:4])[0]:08x}" if sum_ else None, segments=tuple(segments)))
     if not out:
         raise InvalidArchive("no entries")
     return out
@@ -173,47 +174,59 @@ def xp3_read(data: bytes, e: Entry) -> bytes:
 
 @dataclass(frozen=True)
 class FixedIndex:
-    """Records of one size: where they begin, how many, and the fields by name as struct codes.
+    """Archives with an index of records of one size, by declaration.
 
-    ``fields`` maps name, offset, size, packed and skip-like names to struct codes in order; ``count`` is (offset, code);
-    ``base`` is added to offsets; ``index`` decodes the index from the file (for packed ones)."""
+    ``fields`` maps name, offset, size, packed and skipped places to struct codes, in order.  ``start`` and ``base`` (added to
+    offsets) are numbers, or where a number is read: (place, code); a ``base`` of None is the end of the index.  Without a name field, entries are
+    called after the file and their number.  Without an offset field they lie one behind the other from ``base``; without a size field
+    they end where the next one begins.  ``skip`` leaves out records whose name or size is empty, which are errors (names) or entries
+    (sizes) otherwise.  ``also`` are further (bytes, place) that a file must have."""
 
     format_id: str
     signatures: tuple[tuple[bytes, int], ...]
     count: tuple[int, str]
-    start: int
+    start: int | tuple[int, str]
     fields: dict[str, str]
     extensions: tuple[str, ...] = ()
-    base: int | None = 0
+    base: int | tuple[int, str] | None = 0
     encoding: str = "cp932"
     codec: str = "none"
-    index: Callable[[bytes, int], bytes] | None = None
+    skip: bool = False
+    also: tuple[tuple[bytes, int], ...] = ()
     more: dict = field(default_factory=dict)
 
-    def entries(self, data: bytes) -> list[Entry]:
-        for sig, at in self.signatures:
-            if data[at : at + len(sig)] == sig:
-                break
-        else:
-            if self.signatures:
-                raise InvalidArchive("another signature")
-        at, code = self.count
-        n = struct.unpack("<" + code, piece(data, at, struct.calcsize("<" + code)))[0]
+    def entries(self, data: bytes, path: str = "") -> list[Entry]:
+        has = lambda sig: data[sig[1] : sig[1] + len(sig[0])] == sig[0]
+        if (self.signatures and not any(map(has, self.signatures))) or not all(map(has, self.also)):
+            raise InvalidArchive("another signature")
+        number = lambda at, code: struct.unpack("<" + code, piece(data, at, struct.calcsize("<" + code)))[0]
+        n = number(*self.count)
         if not 0 < n < 0x40000:
             raise InvalidArchive("an impossible count")
         layout = struct.Struct("<" + "".join(self.fields.values()))
-        body = self.index(data, n) if self.index else piece(data, self.start, n * layout.size)
-        base = self.start + n * layout.size if self.base is None else self.base
+        start = self.start if isinstance(self.start, int) else number(*self.start)
+        body = piece(data, start, n * layout.size)
+        base = start + len(body) if self.base is None else self.base if isinstance(self.base, int) else number(*self.base)
         names = [k for k, c in self.fields.items() if not c.endswith("x")]
-        out = []
+        stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        rows, at = [], base
         for i in range(n):
             row = dict(zip(names, layout.unpack_from(body, i * layout.size), strict=True))
-            path, offset = name_of(row["name"], self.encoding), row["offset"] + base
-            packed = row.get("packed", row.get("size"))
-            if not path.strip():
+            name = name_of(row["name"], self.encoding) if "name" in row else f"{stem}#{i:04d}"
+            if self.skip and (not name or row.get("size", 1) == 0):
+                continue
+            if not name:
                 raise InvalidArchive(f"record {i} has no name")
+            offset = row["offset"] + base if "offset" in row else at
+            rows.append((name, offset, row.get("packed", row.get("size")), row.get("size")))
+            at = offset + (rows[-1][2] or 0)
+        ends = sorted({r[1] for r in rows} | {len(data)})
+        out = []
+        for i, (name, offset, packed, size) in enumerate(rows):
+            if packed is None:
+                packed = next((e for e in ends if e > offset), offset) - offset
             piece(data, offset, packed)
-            out.append(entry(i, path, row.get("size", packed), packed_size=packed, offset=offset, compressed=self.codec != "none", size_known="size" in row))
+            out.append(entry(i, name, packed if size is None else size, packed_size=packed, offset=offset, compressed=self.codec != "none", size_known=size is not None or self.codec == "none"))
         return out
 
     def read(self, data: bytes, e: Entry) -> bytes:
@@ -226,11 +239,33 @@ class FixedIndex:
         return Reader(self.format_id, self.extensions, self.signatures, self.entries, self.read, **self.more)
 
 
+# Layouts of archives with fixed records.
+FAMILY = [
+    FixedIndex("advsys-fpk", ((b"MFWY", 0),), (4, "i"), 16, {"name": "24s", "size": "I", "offset": "I"}),
+    FixedIndex("ags-dat", ((b"pack", 0),), (4, "h"), 6, {"name": "16s", "offset": "I", "size": "I"}, ("dat",)),
+    FixedIndex("alicesoft-alk", ((b"ALK0", 0),), (4, "i"), 8, {"offset": "I", "size": "I"}, skip=True),
+    FixedIndex("applepie-arc", ((b"ARC\x10", 0),), (4, "i"), (12, "I"), {"name": "16s", "size": "I", "offset": "I"}),
+    FixedIndex("aquarium-cpa", ((b"CPA\0", 0),), (12, "i"), 32, {"name": "16s", "offset": "I", "size": "I", "_": "8x"}, base=(8, "I"), skip=True),
+    FixedIndex("basil-mif", ((b"MIF\0", 0),), (4, "i"), 8, {"name": "16s", "offset": "I", "size": "I"}),
+    FixedIndex("bellda-bld", tuple((b"BLD0" + v + b"\0", 0) for v in (b"0", b"1", b"12", b"3")), (8, "h"), (10, "I"), {"name": "12s", "size": "I"}, base=16),
+    FixedIndex("bishop-pk", ((b"\x8c\x8ePK", 0),), (4, "i"), 12, {"name": "512s", "_": "4x", "offset": "I", "size": "I", "__": "36x"}),
+    FixedIndex("cdpa-pack", ((b"PACK", 0),), (4, "i"), 8, {"name": "32s", "size": "I", "offset": "I"}),
+    FixedIndex("cherry-myk", ((b"MYK0", 0), (b"CHE0", 0)), (8, "H"), (10, "I"), {"name": "12s", "size": "I"}, base=16, also=((b"\x30\x1a", 4),)),
+    FixedIndex("circus-crm", ((b"CRXB", 0),), (8, "i"), 16, {"offset": "I", "_": "4x", "name": "24s"}),
+    FixedIndex("entexec-cab", ((b"Pack", 0),), (8, "i"), 12, {"name": "256s", "offset": "I", "size": "I", "_": "4x"}, also=((b"Dat3", 4),)),
+    FixedIndex("fc01-mrg0", ((b"mrg0", 0),), (4, "i"), 16, {"name": "64s", "size": "I", "_": "8x"}, base=(8, "I")),
+    FixedIndex("harvest-dat", ((b"UNA\0", 0),), (8, "i"), 32, {"name": "32s", "offset": "I", "size": "I", "_": "8x"}, also=((b"001\0", 4),)),
+    FixedIndex("mutation-dpf", ((b"DPFL", 0),), (4, "H"), 6, {"name": "16s", "offset": "I", "size": "I"}),
+    FixedIndex("tail-pkg", ((b"PKG ", 0),), (4, "i"), 8, {"offset": "I", "size": "I"}),
+    FixedIndex("ucom-uk", ((b"UK", 0),), (2, "H"), 4, {"name": "16s", "offset": "I", "size": "I"}),
+]
+
+
 # --- single pictures and sounds as archives of one entry
 
 
-def _single(check: Callable[[bytes], object]) -> Callable[[bytes], list[Entry]]:
-    def entries(data: bytes) -> list[Entry]:
+def _single(check: Callable[[bytes], object]) -> Callable[[bytes, str], list[Entry]]:
+    def entries(data: bytes, path: str = "") -> list[Entry]:  # noqa: ARG001
         try:
             check(data)
         except (ValueError, struct.error) as e:
@@ -272,7 +307,7 @@ class Registry:
         """The first candidate that opens, its entries, the confidence and warnings.  Later candidates aren't tried."""
         for r, by_sig, by_ext in self.candidates(data, path):
             try:
-                found = r.entries(data)
+                found = r.entries(data, path)
             except (InvalidArchive, struct.error, zlib.error, UnicodeDecodeError):
                 continue
             warnings = [] if by_sig or (by_ext and not r.signatures) else ["extension only"] if by_ext else ["neither signature nor extension"]
@@ -284,7 +319,8 @@ def default_registry() -> Registry:
     return Registry(
         [
             Reader("xp3", ("xp3", "exe"), ((MAGIC3, 0),), xp3_entries, xp3_read),
-            Reader("pack32", ("pak",), ((b"ADPACK32", 0),), pack32_entries, stored),
+            Reader("adpack32", ("pak",), ((b"ADPACK32", 0),), pack32_entries, stored),
+            *(f.reader() for f in FAMILY),
             Reader("bmp", ("bmp",), ((b"BM", 0),), _single(codecs.read_bmp), stored, -1),
             Reader("wav", ("wav",), ((b"RIFF", 0),), _single(codecs.read_wave), stored, -1),
             Reader("png", ("png",), ((b"\x89PNG\r\n\x1a\n", 0),), _single(codecs.read_png), stored, -1),

@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from arkline.functions import codecs, hashing, paths
+from arkline.functions import binary, codecs, hashing, paths
 from arkline.operators import verify
 
 
@@ -153,3 +153,40 @@ def test_decoded_fails_alone(spark):
     rows = spark.createDataFrame([("zlib", zlib.compress(b"x")), ("zlib", b"junk"), ("nothing", b"x"), ("none", None)], "c string, d binary")
     got = [r[0] for r in rows.select(codecs.decoded("c", "d")).collect()]
     assert bytes(got[0].bytes) == b"x" and got[1].error and got[2].error and got[3].bytes is None
+
+
+def test_blowfish():
+    b = codecs.Blowfish(bytes(8))
+    assert b.encrypt(bytes(8)).hex() == "4ef997456198dd78" and b.decrypt(bytes.fromhex("4ef997456198dd78")) == bytes(8)
+    assert codecs.Blowfish(bytes.fromhex("0123456789abcdef")).encrypt(bytes.fromhex("1111111111111111")).hex() == "61f9c3802281b096"
+
+
+def test_binary(spark):
+    df = spark.createDataFrame([(bytes(range(1, 9)),)], "c binary")
+    c = F.col("c")
+    assert tuple(df.select(binary.le_number(c, 0, 4), binary.be_number(c, 1, 3), binary.range_read(c, 2, 3)).first()) == (0x04030201, 0x020304, bytearray(b"\3\4\5"))
+    with pytest.raises(Exception, match="INVALID_ARCHIVE"):
+        df.select(binary.range_read(c, 6, 3)).collect()
+    assert list(binary.chunks(b"abcdefg", 1, 5, 2)) == [b"bc", b"de", b"f"]
+    assert binary.joined_range([b"abc", b"", b"defg"], 2, 3) == b"cde"
+    cursor = binary.Cursor(b"\1\2\3\xffab\0c\0\0\0")
+    assert (cursor.u(3), cursor.i(1), cursor.text(), cursor.text(3)) == (0x030201, -1, "ab", "c")
+    with pytest.raises(ValueError, match="outside"):
+        cursor.take(9)
+
+
+def test_executables():
+    body, rsrc = b"CODE" * 4, 0x2000
+    leaf = struct.pack("<IIII", rsrc + 0x58, 5, 0, 0)
+    tree = b"".join([struct.pack("<12xHH", 0, 1) + struct.pack("<II", 10, 1 << 31 | 0x18), struct.pack("<12xHH", 0, 1) + struct.pack("<II", 7, 1 << 31 | 0x30), struct.pack("<12xHH", 0, 1) + struct.pack("<II", 1033, 0x48), leaf, b"hello"])
+    optional = struct.pack("<H", 0x10B).ljust(96, b"\0") + struct.pack("<II", 0, 0) * 2 + struct.pack("<II", rsrc, len(tree))
+    sections = [(b".text", 16, 0x1000, 16, 0x200), (b".rsrc", len(tree), rsrc, len(tree), 0x210)]
+    head = b"MZ".ljust(60, b"\0") + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HH12xHH", 0x14C, 2, len(optional), 0) + optional + b"".join(struct.pack("<8sIIII16x", *s) for s in sections)
+    data = head.ljust(0x200, b"\0") + body + tree + b"OVERLAY"
+    assert data[binary.executable_overlay(data) :] == b"OVERLAY"
+    assert binary.address_offset(data, 0x1004) == 0x204 and binary.address_offset(data, 0x9000) is None
+    optional_fixed = binary._sections(data)[2]
+    data = data[: optional_fixed + 16] + struct.pack("<I", rsrc) + data[optional_fixed + 20 :]
+    assert binary.executable_resources(data) == {(10, 7, 1033): b"hello"}
+    with pytest.raises(ValueError, match="executable"):
+        binary.executable_overlay(b"xx")

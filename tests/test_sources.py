@@ -90,11 +90,43 @@ def test_fixed_index():
         family.entries(b"STUB" + struct.pack("<I", 0))
 
 
+@pytest.mark.parametrize("family", archives.FAMILY, ids=lambda f: f.format_id)
+def test_family(family):
+    """Each layout on an archive that is built from its declaration."""
+    layout, payload = struct.Struct("<" + "".join(family.fields.values())), [b"first", b"second one", b"3"]
+    names = [k for k, c in family.fields.items() if not c.endswith("x")]
+    start = family.start if isinstance(family.start, int) else 64
+    at = start + len(payload) * layout.size
+    if isinstance(family.base, int) and family.base and "offset" not in family.fields:  # entries before the index
+        at, start = family.base, 256
+    base = at if isinstance(family.base, tuple) else 0
+    head, index = bytearray(64), b""
+    for i, p in enumerate(payload):
+        values = {"name": f"n{i}.bin".encode(), "offset": at + sum(map(len, payload[:i])) - base, "size": len(p)}
+        index += layout.pack(*[values[n] for n in names])
+    for sig, place in (family.signatures[0], *family.also):
+        head[place : place + len(sig)] = sig
+    for place, value in ((family.count, len(payload)), (family.start, start), (family.base, at)):
+        if isinstance(place, tuple):
+            struct.pack_into("<" + place[1], head, place[0], value)
+    data = bytearray(max(at + sum(map(len, payload)), start + len(index)))
+    if isinstance(family.start, tuple) and isinstance(family.base, int) and family.base:
+        head = head[: family.base]
+    data[: len(head)] = head
+    data[start : start + len(index)] = index
+    data[at : at + sum(map(len, payload))] = b"".join(payload)
+    found = family.entries(bytes(data), "x/file.dat")
+    assert [family.read(bytes(data), e) for e in found][:2] == payload[:2]
+    assert [e.path for e in found] == ([f"n{i}.bin" for i in range(3)] if "name" in family.fields else [f"file#000{i}" for i in range(3)])
+    with pytest.raises((archives.InvalidArchive, struct.error)):
+        family.entries(bytes(data[: start + 4]), "x")
+
+
 def test_candidates_are_ranked():
     called = []
 
     def stub(name, sigs=(), exts=(), **more):
-        return archives.Reader(name, exts, sigs, lambda d: called.append(name) or (_ for _ in ()).throw(archives.InvalidArchive(name)), archives.stored, **more)
+        return archives.Reader(name, exts, sigs, lambda d, p: called.append(name) or (_ for _ in ()).throw(archives.InvalidArchive(name)), archives.stored, **more)
 
     known = archives.Registry([stub("any"), stub("ext", exts=("pak",)), stub("sig", ((b"AB", 1),)), stub("both", ((b"xA", 0),), ("pak",), priority=-9), stub("miss", ((b"ZZ", 0),)), stub("back", ((b"ZZ", 0),), ("pak",), ext_fallback=True), stub("bound", exts=("dat",), ext_only=True)])
     with pytest.raises(archives.InvalidArchive):
@@ -119,7 +151,7 @@ def test_scan_detect_list_extract(spark, folder):
     assert tables.scan(spark, str(folder / "in"), max_depth=0).count() == 2
     assert [r.relative for r in tables.scan(spark, str(folder / "in"), ["**/*.pak"]).collect()] == ["deep/second.pak"]
     got = {r.source_path.rsplit("/", 1)[1]: (r.outcome, r.format_id, r.confidence, r.entry_count) for r in tables.detected(files).collect()}
-    assert got == {"basic.xp3": ("archive", "xp3", "high", 3), "second.pak": ("archive", "pack32", "high", 1), "readme.txt": ("unrecognized", None, None, None)}
+    assert got == {"basic.xp3": ("archive", "xp3", "high", 3), "second.pak": ("archive", "adpack32", "high", 1), "readme.txt": ("unrecognized", None, None, None)}
     listed = tables.entries(files)
     tjs = entry_ops.filtered(listed, include=["**/*.tjs"]).collect()
     assert [(r.entry_id, r.path) for r in tjs] == [("1", "scripts/startup.tjs")]
@@ -133,7 +165,7 @@ def test_data_source(spark, folder):
     datasource.register(spark)
     df = spark.read.format("archive_entries").load(str(folder / "in"))
     assert df.count() == 4
-    assert [r.path for r in spark.read.format("archive_entries").load(str(folder / "in")).where("format_id = 'pack32'").collect()] == ["a.ogg"]
+    assert [r.path for r in spark.read.format("archive_entries").load(str(folder / "in")).where("format_id = 'adpack32'").collect()] == ["a.ogg"]
 
 
 def test_writing(spark, tmp_path):
