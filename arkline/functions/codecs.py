@@ -579,3 +579,154 @@ class Blowfish:
     def decrypt(self, data: bytes, order: str = ">") -> bytes:
         """Whole blocks; what is left over stays as it is."""
         return self._each(data, self.p[::-1], order)
+
+
+# --- ISAAC-64
+
+
+class Isaac64:
+    """The 64-bit ISAAC generator; ``seed`` has up to 256 words."""
+
+    def __init__(self, seed: list[int] = ()) -> None:
+        mask = (1 << 64) - 1
+        v = [0x9E3779B97F4A7C13] * 8
+
+        def mix() -> None:
+            for i, (n, left) in enumerate(((9, False), (9, True), (23, False), (15, True), (14, False), (20, True), (17, False), (14, True))):
+                a, e, f, h = i, (i + 4) % 8, (i + 5) % 8, (i + 7) % 8
+                v[a] = (v[a] - v[e]) & mask
+                v[f] ^= (v[h] << n & mask) if left else v[h] >> n
+                v[h] = (v[h] + v[a]) & mask
+
+        words = [*seed, *[0] * (256 - len(seed))]
+        for _ in range(4):
+            mix()
+        self.m = [0] * 256
+        for source in (words, self.m) if seed else (None,):
+            for i in range(0, 256, 8):
+                if source is not None:
+                    v[:] = [(x + y) & mask for x, y in zip(v, source[i : i + 8], strict=True)]
+                mix()
+                self.m[i : i + 8] = v
+        self.a = self.b = self.c = 0
+        self.left: list[int] = []
+
+    def _fill(self) -> None:
+        mask, m = (1 << 64) - 1, self.m
+        self.c = (self.c + 1) & mask
+        a, b = self.a, (self.b + self.c) & mask
+        out = [0] * 256
+        for i in range(256):
+            kind = i % 4
+            x = m[i]
+            step = ~(a ^ a << 21 & mask) & mask if kind == 0 else a ^ a >> 5 if kind == 1 else a ^ a << 12 & mask if kind == 2 else a ^ a >> 33
+            a = (step + m[(i + 128) % 256]) & mask
+            y = m[i] = (m[x >> 3 & 255] + a + b) & mask
+            b = out[i] = (m[y >> 11 & 255] + x) & mask
+        self.a, self.b, self.left = a, b, out
+
+    def next(self) -> int:
+        """The next number, the last of a block first."""
+        if not self.left:
+            self._fill()
+        return self.left.pop()
+
+
+# --- DXT3 and DXT5
+
+
+def _colours(data: bytes, width: int, height: int, alpha) -> bytes:
+    """32-bit BGRA of 16-byte blocks; ``alpha`` gives the 16 values of a block's first half."""
+    out = bytearray(width * height * 4)
+    across = (width + 3) // 4
+    for k in range(across * ((height + 3) // 4)):
+        block = data[16 * k : 16 * k + 16]
+        if len(block) < 16:
+            raise ValueError("the blocks are cut short")
+        values = alpha(block[:8])
+        c0, c1, bits = struct.unpack_from("<HHI", block, 8)
+        ends = [((c & 31) * 255 // 31, (c >> 5 & 63) * 255 // 63, (c >> 11) * 255 // 31) for c in (c0, c1)]
+        table = [*ends, *(tuple((p * u + q * (3 - u)) // 3 for p, q in zip(*ends, strict=True)) for u in (2, 1))]
+        for i in range(16):
+            x, y = k % across * 4 + i % 4, k // across * 4 + i // 4
+            if x < width and y < height:
+                at = 4 * (y * width + x)
+                out[at : at + 4] = bytes((*table[bits >> 2 * i & 3], values[i]))
+    return bytes(out)
+
+
+def dxt3(data: bytes, width: int, height: int) -> bytes:
+    return _colours(data, width, height, lambda half: [17 * (int.from_bytes(half, "little") >> 4 * i & 15) for i in range(16)])
+
+
+def dxt5(data: bytes, width: int, height: int) -> bytes:
+    def alpha(half: bytes) -> list[int]:
+        a, b, bits = half[0], half[1], int.from_bytes(half[2:], "little")
+        table = [a, b, *(((7 - i) * a + i * b) // 7 for i in range(1, 7))] if a > b else [a, b, *(((5 - i) * a + i * b) // 5 for i in range(1, 5)), 0, 255]
+        return [table[bits >> 3 * i & 7] for i in range(16)]
+
+    return _colours(data, width, height, alpha)
+
+
+# --- TIFF
+
+
+def lzw_tiff(data: bytes) -> bytes:
+    """LZW of TIFF: codes from the highest bit, a width more one code early."""
+    bits, out = MsbBits(data), bytearray()
+    table: list[bytes] = []
+    width, before = 9, None
+    while bits.at + width <= 8 * len(data):
+        code = bits.read(width)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            continue
+        if code < len(table):
+            part = table[code]
+        elif before is not None and code == len(table):
+            part = before + before[:1]
+        else:
+            raise ValueError("an unknown code")
+        out += part
+        if before is not None:
+            table.append(before + part[:1])
+        before = part
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
+def read_tiff(data: bytes) -> tuple[int, int, int, bytes]:
+    """width, height, bits of a pixel and rows of a TIFF's first picture (stored, LZW, deflated or PackBits)."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
+    if not order:
+        raise ValueError("not a TIFF")
+    at = struct.unpack_from(order + "I", data, 4)[0]
+    tags: dict[int, list[int]] = {}
+    for i in range(struct.unpack_from(order + "H", data, at)[0]):
+        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+        code = {1: "B", 3: "H", 4: "I"}.get(kind)
+        if code:
+            size = struct.calcsize(code) * n
+            place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
+            tags[tag] = list(struct.unpack_from(f"{order}{n}{code}", data, place))
+    width, height = tags[256][0], tags[257][0]
+    bits = sum(tags.get(258, [1]))
+    unpack = {1: bytes, 5: lzw_tiff, 8: inflate, 32946: inflate, 32773: rle_packbits}.get(tags.get(259, [1])[0])
+    if unpack is None:
+        raise ValueError("a kind of TIFF that isn't read")
+    row, strip = (width * bits + 7) // 8, tags.get(278, [height])[0]
+    out = bytearray()
+    for k, (start, n) in enumerate(zip(tags[273], tags[279], strict=True)):
+        lines = min(strip, height - k * strip)
+        part = bytearray(unpack(data[start : start + n])[: row * lines])
+        if tags.get(317, [1])[0] == 2:  # differences of neighbours
+            step = bits // 8
+            for y in range(lines):
+                for x in range(y * row + step, (y + 1) * row):
+                    part[x] = (part[x] + part[x - step]) & 255
+        out += part
+    if len(out) < row * height:
+        raise ValueError("the pixels are cut short")
+    return width, height, bits, bytes(out)

@@ -190,3 +190,27 @@ def test_executables():
     assert binary.executable_resources(data) == {(10, 7, 1033): b"hello"}
     with pytest.raises(ValueError, match="executable"):
         binary.executable_overlay(b"xx")
+
+
+def test_isaac64_is_even_and_repeats():
+    one, other = codecs.Isaac64([1, 2, 3]), codecs.Isaac64([1, 2, 3])
+    got = [one.next() for _ in range(2000)]
+    assert got == [other.next() for _ in range(2000)] and len(set(got)) == 2000
+    assert abs(sum(x.bit_count() for x in got) / 2000 - 32) < 0.5 and codecs.Isaac64([1, 2, 4]).next() != got[0]
+
+
+def test_dxt_alpha():
+    colours = struct.pack("<HHI", 0xF800, 0x001F, 0b0100)
+    assert codecs.dxt3(bytes([0xF0]) + bytes(7) + colours, 2, 1) == bytes([0, 0, 255, 0, 255, 0, 0, 255])
+    assert codecs.dxt5(bytes([255, 0, 0b001000, 0, 0, 0, 0, 0]) + colours, 2, 1) == bytes([0, 0, 255, 255, 255, 0, 0, 0])
+
+
+def test_tiff():
+    pixels = bytes(range(12))
+    # codes of nine bits: clear, twelve literals, end
+    packed = int("".join(f"{c:09b}" for c in [256, *pixels, 257]).ljust(128, "0"), 2).to_bytes(16, "big")
+    for kind, body in ((1, pixels), (5, packed), (8, zlib.compress(pixels)), (32773, bytes([11]) + pixels)):
+        tags = [(256, 3, 4), (257, 3, 3), (258, 3, 8), (259, 3, kind), (273, 4, 8), (278, 3, 3), (279, 4, len(body))]
+        ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + bytes(4)
+        data = b"II*\0" + struct.pack("<I", 8 + len(body)) + body + ifd
+        assert codecs.read_tiff(data) == (4, 3, 8, pixels)
