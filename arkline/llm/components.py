@@ -39,6 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
         seen, old = mark, e
-        e = staged(_small(_large(e)), "edges")
+        stars = staged(_large(e), "stars")
+        e = staged(_small(stars), "edges")
+        drop_staged(stars)
         drop_staged(old)
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
