@@ -20,19 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _configured(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and the executors share: ``spark.checkpoint.dir``.
 
     Only where the session names none (tests on one machine), a temporary folder is taken."""
-    found = _configured(spark)
-    if not found:
-        found = tempfile.mkdtemp(prefix="arkline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="arkline-")
+    return _own[app]
 
 
 _folders: dict[str, object] = {}

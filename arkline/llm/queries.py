@@ -81,6 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, mixing
+    from . import line_dedup, mixing, near_dups, topk
 
-    return {"op4_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op3_top_k": topk.ORACLE, "op8_near_dups": near_dups.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE}

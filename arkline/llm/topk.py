@@ -127,3 +127,11 @@ def _named(sent, batches):
     for b in batches:
         if b.num_rows:
             yield pa.RecordBatch.from_arrays([pa.array(own[b.column(0).to_numpy()]), *b.columns[1:]], ["query_id", "rank", "vec_id", "score"])
+
+
+ORACLE = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= {K}
+"""
