@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches hold at most this many rows and bytes, so that very long texts don't fill a worker.
 BATCH_ROWS = 512
@@ -107,6 +108,15 @@ def keeping_columns(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join to an aggregate by its own keys, whose two sides are dealt out for the join alone.
+
+    A join that takes an aggregation's partitioning over can't be split where a key is hot.  A second key that follows from
+    the first ones makes Spark deal both sides anew, so it can."""
+    more = F.xxhash64(*keys, F.lit(1))
+    return left.withColumn("_again", more).join(right.withColumn("_again", more), [*keys, "_again"], how).drop("_again")
+
+
 def wide(spark: SparkSession, least: int = 1) -> int:
     """Partitions to deal rows over: the session's number of shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, keyed_join, staged
 
 ROUNDS = 60
 
 
 def _least(e: DataFrame) -> DataFrame:
-    """The least neighbour of each end.  Written first: the join to it can then be split where an end has very many neighbours."""
-    return staged(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+    """The least neighbour of each end."""
+    return e.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return keyed_join(both, least, ["u"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _least(down)
-    near = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = keyed_join(down, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -39,8 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
         seen, old = mark, e
-        stars = staged(_large(e), "stars")
-        e = staged(_small(stars), "edges")
-        drop_staged(stars)
+        e = staged(_small(_large(e)), "edges")
         drop_staged(old)
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

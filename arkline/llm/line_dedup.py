@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, keeping_columns, staged
+from .common import drop_staged, keeping_columns, keyed_join, staged
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Batches of documents, and runs of a level that are merged into one of the next.
@@ -80,7 +80,6 @@ def runs_of(keys: DataFrame, batches: int = BATCHES, fan: int = FAN) -> list[Dat
             seen = earlier[0]
             for r in earlier[1:]:
                 seen = seen.union(r)
-            own = staged(own, "batch")
             new = own.join(seen.hint("merge"), ["h1", "h2"], "left_anti")
             known = own.join(seen.hint("merge"), ["h1", "h2"], "left_semi").withColumn("holder", F.lit(None).cast("long"))
             own = new.union(known)
@@ -99,9 +98,8 @@ def runs_of(keys: DataFrame, batches: int = BATCHES, fan: int = FAN) -> list[Dat
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """d, th and gone (line numbers) of the rows that lose lines."""
     keys = staged(line_keys(docs, least_chars), "lines")
-    # written, so that the join to it can be split where a line is in very many documents
-    frequent = staged(_merged(runs_of(keys)).where(F.col("n_docs") >= least_docs), "frequent")
-    gone = keys.join(frequent, ["h1", "h2"]).where(F.col("d") < F.col("holder"))
+    frequent = _merged(runs_of(keys)).where(F.col("n_docs") >= least_docs)
+    gone = keyed_join(keys, frequent, ["h1", "h2"]).where(F.col("d") < F.col("holder"))
     return gone.groupBy("d", "th").agg(F.collect_set("at").alias("gone"))
 
 

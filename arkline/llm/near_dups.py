@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_staged, keeping_columns, staged, wide
+from .common import arrow_map, drop_staged, keeping_columns, keyed_join, staged, wide
 from .components import components
 from .shingles import MinHash, U, hashed, mixed
 
@@ -173,44 +173,36 @@ def _grouped(docs: DataFrame, m: int, k: int, percent: int) -> DataFrame:
 
     small = classes.select("cls", F.explode("a").alias("key"))
     met = small.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    # small tables that many rows of one key are joined to are written first: a join of two plain exchanges can be split where a
-    # key is hot, one above an aggregation can't
-    met = staged(met, "met")
-    live = small.join(met, "key", "left_semi").groupBy("cls").agg(F.collect_list("key").alias("a"))
+    live = keyed_join(small, met, ["key"], "left_semi").groupBy("cls").agg(F.collect_list("key").alias("a"))
     keys = live.join(classes.select("cls", "b"), "cls").select("cls", F.explode("a").alias("x"), "b").select("cls", "x", F.explode("b").alias("y"))
     # each first hash has its own order of leaders
     keys = keys.select("cls", F.xxhash64("x", "y").alias("key"), F.struct(F.xxhash64(F.pmod(F.col("x"), F.lit(m)), "cls").alias("o"), "cls").alias("rank"))
     leads = keys.groupBy("key").agg(F.min("rank").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.cls").alias("lead"))
-    leads = staged(leads, "leads")
-    tabled = staged(keys.select("cls", "key").join(leads, "key"), "tables")
+    tabled = staged(keyed_join(keys.select("cls", "key"), leads, ["key"]), "tables")
 
     pairs = tabled.where("cls <> lead").select(F.least("cls", "lead").alias("u"), F.greatest("cls", "lead").alias("v")).distinct()
     ends = tabled.select("cls").distinct().join(classes.select("cls", "at.doc_id", "at.th"), "cls")
     texts = staged(docs.join(ends.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["cls"]).select("cls", "text"), "texts")
-    links = staged(verified(pairs, texts, percent), "links")
-    found = staged(components(links), "found")
+    found = components(verified(pairs, texts, percent))
 
     of = F.coalesce("root", "cls")
     placed = tabled.select("cls", "key").join(found.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "key", of.alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    split = staged(split, "split")
-    rest = staged(placed.join(split, "key", "left_semi").select("cls", "comp").distinct(), "rest")
+    rest = staged(keyed_join(placed, split, ["key"], "left_semi").select("cls", "comp").distinct(), "rest")
     if rest.head(1):
         open_texts = staged(texts.join(rest, "cls"), "open")
         rare = staged(prefixes(open_texts, counted(open_texts), percent).join(rest, "cls"), "rare")
         # members of one component are known to be linked: a shingle's members are met with those of other components only
         mixed_keys = rare.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        mixed_keys = staged(mixed_keys, "mixed")
-        both = rare.join(mixed_keys, "key", "left_semi")
+        both = keyed_join(rare, mixed_keys, ["key"], "left_semi")
         more = both.alias("x").join(both.alias("y"), F.expr(f"x.key = y.key and {may_link(percent)}"))
         more = more.select(F.least("x.cls", "y.cls").alias("u"), F.greatest("x.cls", "y.cls").alias("v")).distinct()
         more = verified(more.join(pairs, ["u", "v"], "left_anti"), texts, percent)
-        bridges = staged(found.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more), "bridges")
-        found = staged(components(bridges), "found")
+        found = components(found.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more))
     parts = classes.select("cls", "at.doc_id").join(found.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc_id", of.alias("root"))
     least = parts.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = parts.join(least, "root").select("cls", "component_id")
-    for t in (met, leads, tabled, texts, links, split, rest):
+    for t in (tabled, texts, rest):
         drop_staged(t)
     out = sig.select("doc_id", "th", "n", "cls").join(of_class, "cls", "left")
     out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
