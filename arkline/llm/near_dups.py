@@ -199,6 +199,8 @@ def _grouped(docs: DataFrame, m: int, k: int, percent: int) -> DataFrame:
         more = more.select(F.least("x.cls", "y.cls").alias("u"), F.greatest("x.cls", "y.cls").alias("v")).distinct()
         more = verified(more.join(pairs, ["u", "v"], "left_anti"), texts, percent)
         found = components(found.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more))
+        drop_staged(open_texts)
+        drop_staged(rare)
     parts = classes.select("cls", "at.doc_id").join(found.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc_id", of.alias("root"))
     least = parts.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = parts.join(least, "root").select("cls", "component_id")

@@ -6,7 +6,7 @@ adds up; a part of the labelled rows that the ridge doesn't see turns scores int
 violators.  Only a bounded sample of labelled rows is fitted (SAMPLE rows, by a hash of doc_id); all rows are scored.
 
 Cases: a null text counts as empty, and an empty text has a score.  Without at least 20 labelled rows of both
-labels every row gets the share of label 1 (or 0.5).  Labels of null are left out; repeated labels count as often as they
+labels every row gets the share of label 1 (or 0.5), and ``kept`` keeps all.  Labels of null are left out; repeated labels count as often as they
 stand.  Columns of the labels other than doc_id and quality, and of the documents other than doc_id and text, are not used.
 """
 
@@ -77,6 +77,8 @@ class Model:
     weights: np.ndarray
     at: np.ndarray
     level: np.ndarray
+    #: Whether there were labels to learn from.
+    learnt: bool = True
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return cosines((x - self.mean) / self.scale) @ self.weights
@@ -116,7 +118,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     total, ones = known.agg(F.count("*"), F.sum("_y")).first()
     if total < 20 or ones in (0, total):
         level = np.full(2, ones / total if total else 0.5)
-        return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(COSINES + 1), np.array([0.0, 1.0]), level)
+        return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(COSINES + 1), np.array([0.0, 1.0]), level, False)
     # at most about ``sample`` rows of 12 bytes: small enough to send to every task
     some = known.where(F.pmod(F.xxhash64("_of"), F.lit(1 << 20)) < int((1 << 20) * min(1, sample / total)))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), F.col("doc_id") == F.col("_of"))
@@ -186,5 +188,6 @@ def qualities(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 @keeping_columns
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
-    return scored(docs, fitted(docs, labels)).where(F.col("_score") >= threshold).drop("_score")
+    """The documents that the classifier doesn't reject, with their own columns; all of them if there was nothing to learn from."""
+    model = fitted(docs, labels)
+    return scored(docs, model).where(F.col("_score") >= threshold).drop("_score") if model.learnt else docs

@@ -36,3 +36,13 @@ def test_pipeline(spark, tmp_path):
         sizes.append(at.count())
     assert sizes[1] < sizes[0] and sizes[2] == sizes[1] and sizes[3] < sizes[2] and sizes[4] <= sizes[3]
     assert corpus_pipeline.run(spark, d).count() == sizes[-1]
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    d = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), d).count() == 0, name
+    one = spark.createDataFrame([(1, "a text that nothing is known about", "en", "src1", 35)], schema)
+    assert corpus_pipeline.quality_stage(spark, one, d).count() == 1
