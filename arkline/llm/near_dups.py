@@ -4,7 +4,8 @@ Two collections of M small hashes, each of K MinHash values, give M x M table ke
 collection is the key of one table.  So M * M tables of 2 K values need 2 M K values in place of 2 M M K.
 
 1. One pass hashes each text's shingles; texts of equal sets form a class, and only classes go on.
-2. Classes that meet nobody in the first collection can meet nobody in a table: only those that do get table keys.
+2. Classes that meet nobody in the first collection, or in the second one, can meet nobody in a table: only hashes that are
+   shared become parts of table keys.
 3. In each table's bucket a leader is linked to the others (leaders differ by table, so a bucket isn't one star): no pairs
    of a bucket are listed.  Links are verified on the full sets, and components found.
 4. Buckets whose members are in different components may hide links between them.  Their members are searched exactly: in the
@@ -174,11 +175,16 @@ def _grouped(docs: DataFrame, m: int, k: int, percent: int) -> DataFrame:
     small = classes.select("cls", F.explode("a").alias("key"))
     met = small.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     live = keyed_join(small, met, ["key"], "left_semi").groupBy("cls").agg(F.collect_list("key").alias("a"))
-    keys = live.join(classes.select("cls", "b"), "cls").select("cls", F.explode("a").alias("x"), "b").select("cls", "x", F.explode("b").alias("y"))
+    live = staged(live.join(classes.select("cls", "b"), "cls"), "live")
+    # the same for the second collection, among these classes
+    second = live.select("cls", F.explode("b").alias("key"))
+    met = second.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    ends = keyed_join(second, met, ["key"], "left_semi").groupBy("cls").agg(F.collect_list("key").alias("b"))
+    keys = live.select("cls", "a").join(ends, "cls").select("cls", F.explode("a").alias("x"), "b").select("cls", "x", F.explode("b").alias("y"))
     # each first hash has its own order of leaders
     keys = keys.select("cls", F.xxhash64("x", "y").alias("key"), F.struct(F.xxhash64(F.pmod(F.col("x"), F.lit(m)), "cls").alias("o"), "cls").alias("rank"))
     leads = keys.groupBy("key").agg(F.min("rank").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.cls").alias("lead"))
-    tabled = staged(keyed_join(keys.select("cls", "key"), leads, ["key"]), "tables")
+    tabled = staged(keys.select("cls", "key").join(leads, "key"), "tables")
 
     pairs = tabled.where("cls <> lead").select(F.least("cls", "lead").alias("u"), F.greatest("cls", "lead").alias("v")).distinct()
     ends = tabled.select("cls").distinct().join(classes.select("cls", "at.doc_id", "at.th"), "cls")
