@@ -53,13 +53,14 @@ def statistics(text: str | None) -> np.ndarray:
     lines = data.split(b"\n")
     k = len(lines)
     mean = (size * times).sum() / w
-    some = words[:: max(1, w // 400)]
+    upper = sum(n for x, n in count.items() if x.isupper())
+    ended = sum(n for x, n in count.items() if not x[-1:].isalnum() and x[-1] < 128)
     out[: len(groups)] = np.sqrt(groups)
     out[len(groups) :] = [
         np.log1p(n), np.log1p(w), mean, np.sqrt(max(0, ((size - mean) ** 2 * times).sum() / w)), np.log1p(size.max()),
         len(count) / w**0.8, times.max() / w, np.sqrt((times**2).sum()) / w, times[size <= 3].sum() / w,
         -(share * np.log2(share)).sum(), np.log1p(k), np.log1p(n / k), len(set(lines)) / k, sum(map(len, set(lines))) / n,
-        sum(x.isupper() for x in some) / max(1, len(some)), sum(not x[-1:].isalnum() and x[-1] < 128 for x in some) / max(1, len(some)),
+        upper / w, ended / w,
     ]
     return out
 

@@ -412,6 +412,16 @@ def test_quality(spark):
     assert {r.score for r in none} <= {0.5, 0.49}
 
 
+def test_quality_looks_at_every_word():
+    """Long texts whose upper-case and punctuated words fall between or on the steps of any fixed stride."""
+    for n in (5, 799, 800, 4000, 20_000):
+        for at in (0, 1):
+            words = ["word"] * n
+            words[at :: max(2, n // 400)] = ["LOUD!"] * len(words[at :: max(2, n // 400)])
+            share = words.count("LOUD!") / n
+            assert quality.statistics(" ".join(words))[-2:].tolist() == [share, share]
+
+
 @pytest.mark.parametrize("n", [0, 1, 500])
 def test_isotonic_rises(n):
     rng = np.random.default_rng(n)
