@@ -65,6 +65,30 @@ def test_pii_redacts(spark):
     assert pii.found(documents(spark, [])).collect() == []
 
 
+def test_pii_finds_what_base_rules_cannot(spark):
+    import random
+
+    rng = random.Random(7)
+    number = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    texts = []
+    for i in range(150):
+        bad = next(c for c in iter(lambda: str(rng.randrange(10**15, 10**16)), "") if not luhn(c))
+        texts.append(f"some words jo{i}.doe@mail{i % 9}.example.com and +1 {number()} then {bad} to end")
+    wanted = ["write to jo.smith (at) mail.example.com please", "send it to kim[at]host[dot]example[dot]org today", "she was on (555) 010-9999 then", "you may ring 555-010-9998 at noon"]
+    left = ["the order no. 555-010-9999 is late", "code A-555-010-9999-77 is old", "we met (at) noon here", "number 4111 1111 1111 1112 is no card"]
+    docs = spark.createDataFrame(list(enumerate([*wanted, *left, *texts])), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.found(docs).collect()}
+    for i, (t, span) in enumerate(zip(wanted, ["jo.smith (at) mail.example.com", "kim[at]host[dot]example[dot]org", "(555) 010-9999", "555-010-9998"], strict=True)):
+        assert got[i] == f"{'phone' if i > 1 else 'email'}:{t.index(span)}:{t.index(span) + len(span)}"
+    assert [got[len(wanted) + i] for i in range(len(left))] == [""] * len(left)
+    assert all(got[i].count(":") == 4 for i in range(len(wanted) + len(left), len(got)))
+    # a layout that evidence mostly speaks against isn't added without evidence for it
+    more = texts + [f"the invoice {number()} is due" for _ in range(200)] + [f"please phone {number()} now" for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(["it was (555) 010-9999 then", "please phone (555) 010-9999 then", *more])), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.found(docs).where("doc_id < 2").collect()}
+    assert got == {0: "", 1: "phone:13:27"}
+
+
 # --- 2
 
 
