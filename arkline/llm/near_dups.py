@@ -167,22 +167,50 @@ def grouped(docs: DataFrame, m: int = M, k: int = K, percent: int = PERCENT) ->
 
 
 def _grouped(docs: DataFrame, m: int, k: int, percent: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    sig = staged(signatures(docs.select("doc_id", "th", "text"), m, k), "signatures")
-    classes = staged(sig.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    docs = numbered(docs)
+    sig = staged(signatures(docs, m, k), "signatures")
+    classes = classes_of(sig)
 
     small = classes.select("cls", F.explode("a").alias("key"))
     met = small.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     live = small.join(met, "key", "left_semi").groupBy("cls").agg(F.collect_list("key").alias("a"))
     keys = live.join(classes.select("cls", "b"), "cls").select("cls", F.explode("a").alias("x"), "b").select("cls", "x", F.explode("b").alias("y"))
     # each first hash has its own order of leaders
-    keys = keys.select("cls", F.xxhash64("x", "y").alias("key"), F.struct(F.xxhash64(F.pmod(F.col("x"), F.lit(m)), "cls").alias("o"), "cls").alias("rank"))
+    found, _ = connected(docs, classes, keys.select("cls", F.xxhash64("x", "y").alias("key"), F.pmod(F.col("x"), F.lit(m)).alias("turn")), percent)
+    out = placed_in(sig, classes, found).select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, th (a hash of the text) and text of each row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
+def classes_of(sig: DataFrame) -> DataFrame:
+    """cls, at (the row that stands for the class: the least doc_id, null only where there is no other), a and b."""
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("at")
+    return staged(sig.where("n > 0").groupBy("cls").agg(at, F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+
+
+def placed_in(sig: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``sig`` with component_id, the least doc_id of their component (null without one)."""
+    parts = classes.select("cls", "at.doc_id").join(found.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
+    least = parts.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_class = parts.join(least, "root").select("cls", "component_id")
+    return sig.select("doc_id", "th", "n", "cls").join(of_class, "cls", "left")
+
+
+def connected(docs: DataFrame, classes: DataFrame, keys: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Components (v, root) of the classes that ``keys`` (cls, key, turn) put in one bucket, split buckets searched exactly, and
+    the verified links (u, v) they come from.  A turn has its own order of leaders."""
+    keys = keys.select("cls", "key", F.struct(F.xxhash64("turn", "cls").alias("o"), "cls").alias("rank"))
     leads = keys.groupBy("key").agg(F.min("rank").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.cls").alias("lead"))
     tabled = staged(keys.select("cls", "key").join(leads, "key"), "tables")
 
     pairs = tabled.where("cls <> lead").select(F.least("cls", "lead").alias("u"), F.greatest("cls", "lead").alias("v")).distinct()
-    ends = tabled.select("cls").distinct().join(classes.select("cls", "at.doc_id", "at.th"), "cls")
-    texts = staged(docs.join(ends.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["cls"]).select("cls", "text"), "texts")
+    ends = tabled.select("cls").distinct().join(classes.select("cls", F.col("at.doc_id").alias("_of"), F.col("at.th").alias("_th")), "cls")
+    same = docs["doc_id"].eqNullSafe(F.col("_of")) & (docs["th"] == F.col("_th"))
+    texts = staged(docs.join(ends.hint("shuffle_hash"), same).dropDuplicates(["cls"]).select("cls", "text"), "texts")
     links = staged(verified(pairs, texts, percent), "links")
     found = staged(components(links), "found")
 
@@ -198,19 +226,14 @@ def _grouped(docs: DataFrame, m: int, k: int, percent: int) -> DataFrame:
         both = rare.join(mixed_keys, "key", "left_semi")
         more = both.alias("x").join(both.alias("y"), F.expr(f"x.key = y.key and {may_link(percent)}"))
         more = more.select(F.least("x.cls", "y.cls").alias("u"), F.greatest("x.cls", "y.cls").alias("v")).distinct()
-        more = verified(more.join(pairs, ["u", "v"], "left_anti"), texts, percent)
-        bridges = staged(found.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more), "bridges")
-        found = staged(components(bridges), "found")
+        more = staged(verified(more.join(pairs, ["u", "v"], "left_anti"), texts, percent), "more")
+        found = staged(components(found.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more)), "found")
+        links = links.union(more)
         drop_staged(open_texts)
         drop_staged(rare)
-    parts = classes.select("cls", "at.doc_id").join(found.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc_id", of.alias("root"))
-    least = parts.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = parts.join(least, "root").select("cls", "component_id")
     for t in (tabled, texts, rest):
         drop_staged(t)
-    out = sig.select("doc_id", "th", "n", "cls").join(of_class, "cls", "left")
-    out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found, links
 
 
 @keeping_columns

@@ -385,6 +385,21 @@ def test_near_dups_chain_of_copies(spark):
     assert many(near_dups.grouped(documents(spark, docs))) == Counter(near_groups(docs))
 
 
+def test_near_dups_null_id_shares_a_text(spark):
+    """A class whose rows have null and other ids, with a near copy, and one of null ids only."""
+    import random
+
+    from .data import words
+
+    rng = random.Random(4)
+    one, two = words(rng, 60), words(rng, 60)
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    docs = [(i, t, None, None, 0, None, None, None) for i, t in [(None, one), (5, one), (9, one), (7, near(one)), (None, two), (None, two), (12, near(two)), (11, near(two))]]
+    assert many(near_dups.grouped(documents(spark, docs))) == Counter(near_groups(docs))
+    left = Counter(r.doc_id for r in near_dups.deduplicated(documents(spark, docs)).collect())
+    assert left == Counter({None: 3, 5: 1, 11: 1})
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r.v: r.root for r in components(edges).collect()}
