@@ -1,13 +1,18 @@
 """Document fingerprints: MinHash over word shingles by universal hash permutations, in vectorised numpy.
 
 A fingerprint has one byte of each of PERMUTATIONS least values.  Likeness is the share of equal bytes, less what equal bytes
-two unrelated fingerprints have by chance.  ``banded`` joins bands of signatures in Spark and verifies Jaccard on the full sets.
+two unrelated fingerprints have by chance.
+
+Bands of signatures are joined in Spark: in each band's bucket a leader is linked to the others, links are verified by Jaccard on the full sets, and
+buckets whose members are then in different components are searched exactly, as in ``near_dups``.  near_id is the least doc_id of a
+document's component.  A link is lost only if no band holds its pair: with J = 0.75, 32 bands and 4 rows the chance is below 1e-5.
 
 ``edited`` puts a text's next document (by descending doc_id) beside it without a global sort: doc_ids are cut into
 ranges, each range is sorted by itself, and the first document of a range is also dealt to the range before it.
 
 Cases: a null or empty text has no shingles; its fingerprint equals that of every other such text.  Rows that repeat a doc_id are ordered
-by a hash of their text; a null doc_id comes last.  A single document follows itself.  Other columns are ignored.
+by a hash of their text; a null doc_id comes last.  near_id of a document without shingles is its own doc_id; it is null only where no
+document of the component has a doc_id.  A single document follows itself.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, BATCH_ROWS, staged, wide
+from .near_dups import classes_of, connected, numbered, placed_in, signatures
 from .shingles import MinHash, U, hashed, mixed
 
 PERMUTATIONS, SEED = 128, 31
+BANDS, ROWS, PERCENT = 32, 4, 75
 #: Ranges of doc_id for each partition: more make partitions of more even size.
 RANGES = 4
 _LEAST = -(1 << 63)
@@ -50,7 +57,7 @@ def edited(text: str | None, after: str | None) -> str:
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
-    """range, guest, k, doc_id, text: each range sorted by itself, with the first row of the next one as a guest."""
+    """range, guest, k, doc_id, th, text: each range sorted by itself, with the first row of the next one as a guest."""
     n = wide(docs.sparkSession) * RANGES
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
     cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
@@ -76,13 +83,13 @@ def _dealt(docs: DataFrame) -> DataFrame:
             out[i] = np.array([own[i], prior[at[i]]], np.int32)
         return pd.Series(out)
 
-    rows = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.select("k", "doc_id", "text", F.posexplode(ranges_of("k")).alias("guest", "r"))
-    return rows.repartition(wide(docs.sparkSession), "r").sortWithinPartitions("r", "guest", F.desc("k"), F.xxhash64("text"))
+    rows = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    rows = rows.select("k", "doc_id", "th", "text", F.posexplode(ranges_of("k")).alias("guest", "r"))
+    return rows.repartition(wide(docs.sparkSession), "r").sortWithinPartitions("r", "guest", F.desc("k"), "th")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_id of each row."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -92,34 +99,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            guests, docs_, texts = (batch.column(k).to_pylist() for k in range(3))
-            rows = held + list(zip(guests, docs_, texts, mark(texts), strict=True))
+            guests, docs_, hashes, texts = (batch.column(k).to_pylist() for k in range(4))
+            rows = held + list(zip(guests, docs_, texts, mark(texts), hashes, strict=True))
             pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a[0] == 0]
             held = rows[-1:]
             new = [edited(a[2], b[2]) for a, b in pairs]
             out = []
             for (a, b), text, other in zip(pairs, new, mark(new), strict=True):
-                out.append((a[1], len(a[2] or ""), hashlib.sha256(text.encode()).hexdigest(), a[3].tobytes().hex(), other.tobytes().hex(), likeness(a[3], other), likeness(a[3], b[3])))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                out.append((a[1], len(a[2] or ""), hashlib.sha256(text.encode()).hexdigest(), a[3].tobytes().hex(), other.tobytes().hex(), likeness(a[3], other), likeness(a[3], b[3]), a[4]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _NAMES)
 
-    dealt = _dealt(docs).select("guest", "doc_id", "text")
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = _dealt(docs).select("guest", "doc_id", "th", "text")
+    marked = dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, th long")
+    near = _banded(docs, BANDS, ROWS, PERCENT)[0].select(F.col("doc_id").alias("_of"), F.col("th").alias("_th"), F.coalesce("component_id", "doc_id").alias("near_id")).distinct()
+    same = marked["doc_id"].eqNullSafe(near["_of"]) & (marked["th"] == near["_th"])
+    return marked.join(near.hint("shuffle_hash"), same, "left").select(*_NAMES[:-1], "near_id")
+
 
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "th"]
 
-_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+def _banded(docs: DataFrame, bands: int, rows: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th, n, cls and component_id of each row, and the verified links."""
+    docs = numbered(docs)
+    sig = staged(signatures(docs, m=bands // 2, k=rows), "bands")
+    classes = classes_of(sig)
+    keys = classes.select("cls", F.explode(F.concat("a", "b")).alias("key")).withColumn("turn", F.pmod("key", F.lit(bands)))
+    found, links = connected(docs, classes, keys, percent)
+    return placed_in(sig, classes, found), links
 
-def banded(docs: DataFrame, bands: int = 32, rows: int = 4, percent: int = 75) -> DataFrame:
-    """Links (u, v) between distinct texts: bands of signatures are joined, each band's bucket around one leader, and
-    Jaccard is verified on the full sets."""
-    from .near_dups import signatures, verified
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    sig = staged(signatures(docs, m=bands // 2, k=rows), "bands").where("n > 0")
-    texts = docs.join(sig.select("doc_id", "th", "cls"), ["doc_id", "th"]).dropDuplicates(["cls"]).select("cls", "text")
-    keys = sig.select("cls", F.explode(F.concat("a", "b")).alias("key")).distinct()
-    leads = keys.groupBy("key").agg(F.min("cls").alias("lead"))
-    pairs = keys.join(leads, "key").where("cls <> lead").select(F.col("lead").alias("u"), F.col("cls").alias("v")).distinct()
-    return verified(pairs, texts, percent)
+def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) between distinct texts, enough to connect all that are linked by way of others: bands of signatures are joined, each
+    band's bucket around one leader, split buckets are searched exactly, and Jaccard is verified on the full sets."""
+    return _banded(docs, bands, rows, percent)[1]

@@ -271,6 +271,31 @@ def test_banded(spark):
     assert fingerprints.banded(docs).count() >= 12 * 3
 
 
+def test_bands_against_brute_force(spark):
+    import random
+
+    from .data import words
+
+    rng = random.Random(19)
+    docs, base = [], words(rng, 80).split()
+    text = list(base)
+    for i in range(40):
+        docs.append((i, " ".join(text), None, None, 0, None, None, None))
+        text[rng.randrange(80)] = f"c{i}"
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.randint(1, 14)):
+            text[rng.randrange(80)] = f"d{i}x{rng.randrange(99)}"
+        docs.append((100 + i, " ".join(text), None, None, 0, None, None, None))
+    for given in (docs, rows()):
+        got = fingerprints.fingerprints(documents(spark, given)).collect()
+        assert Counter((r.doc_id, r.near_id) for r in got) == Counter((i, i if n == 0 or at is None else at) for i, n, at, _ in near_groups(given))
+    # the links alone connect the same groups
+    links = spark.createDataFrame([(bytes(r.u), bytes(r.v)) for r in fingerprints.banded(documents(spark, docs)).collect()], "u binary, v binary")
+    classes = len({r[1] for r in docs})
+    assert classes - components(links).count() == len({at for _, _, at, _ in near_groups(docs)})
+
+
 # --- 6
 
 
