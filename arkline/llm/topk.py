@@ -8,14 +8,15 @@ never cut off, so ties go to the smaller vec_id exactly.
 Queries are taken in chunks of a fixed size (CHUNK bytes), each sent to all tasks; a task gives its k best of each query, and these
 are merged by query.  Sums are exact: products of whole numbers below 2**53 in double precision.
 
-Cases: vectors that are null, or hold null or non-finite components, take no part.  Vectors of another length than the
-most frequent one take no part either.  Rows that repeat a vec_id are candidates each; a query's own vec_id is none.  Fewer
+Cases: vectors that are null, or hold null or non-finite components, take no part.  Vectors are compared with those of their
+own length only.  Rows that repeat a vec_id are candidates each; a query's own vec_id is none.  Fewer
 candidates than k give fewer rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -37,34 +38,47 @@ def whole(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    """Blocks of neighbouring vec_ids: ids, values, and the greatest and least value of each component."""
+    """Blocks of neighbouring vec_ids of one length: the length d, ids, values, and the greatest and least value of each component."""
 
     def run(batches):
-        ids, values = [], []
+        d, ids, values = None, [], []
 
         def block(n):
             i, v = np.array(ids[:n], np.int64), np.array(values[:n], np.float64)
             del ids[:n], values[:n]
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (i, v, v.max(0), v.min(0))], ["ids", "v", "hi", "lo"])
+            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (i, v, v.max(0), v.min(0)))], ["d", "ids", "v", "hi", "lo"])
 
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            values += batch.column(1).to_pylist()
-            while len(ids) >= BLOCK:
-                yield block(BLOCK)
+            for size, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids and (size != d or len(ids) == BLOCK):
+                    yield block(len(ids))
+                d = size
+                ids.append(i)
+                values.append(v)
         if ids:
             yield block(len(ids))
 
-    return rows.repartitionByRange(wide(rows.sparkSession), "vec_id").sortWithinPartitions("vec_id").mapInArrow(run, "ids binary, v binary, hi binary, lo binary")
+    dealt = rows.select(F.size("v").alias("d"), "vec_id", "v").repartitionByRange(wide(rows.sparkSession), "d", "vec_id")
+    return dealt.sortWithinPartitions("d", "vec_id").mapInArrow(run, "d int, ids binary, v binary, hi binary, lo binary")
 
 
-def _search(chunk: tuple[np.ndarray, np.ndarray], k: int, batches):
-    """The k best candidates in this task for each query of the chunk."""
-    own, q = chunk
-    blocks = [[np.frombuffer(x, t) for x, t in zip(row, (np.int64, *[np.float64] * 3), strict=True)] for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    if not blocks:
-        return
-    blocks = [(ids, v.reshape(len(ids), -1), hi, lo) for ids, v, hi, lo in blocks]
+def _search(chunk: tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]], k: int, batches):
+    """The k best candidates in this task for each query of the chunk, among vectors of its length."""
+    own, by_size = chunk
+    held = defaultdict(list)
+    for b in batches:
+        for d, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if d in by_size:
+                ids, v, hi, lo = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, *[np.float64] * 3), strict=True))
+                held[d].append((ids, v.reshape(len(ids), d), hi, lo))
+    for d, blocks in held.items():
+        at, q = by_size[d]
+        r, found, score = _best(own[at], q, k, blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(at[r], pa.int64()), pa.array(found), pa.array(score.astype(np.int64))], ["q", "vec_id", "score"])
+
+
+def _best(own: np.ndarray, q: np.ndarray, k: int, blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, vec_ids and scores of the k best of each in blocks of one length."""
     high, low = (np.array([b[i] for b in blocks]) for i in (2, 3))
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     order = np.argsort(-bound, axis=1, kind="stable")
@@ -85,7 +99,7 @@ def _search(chunk: tuple[np.ndarray, np.ndarray], k: int, batches):
             best = np.lexsort((i, -s), axis=1)[:, :k]
             score[rows], found[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
     r, c = np.nonzero(np.isfinite(score))
-    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(found[r, c]), pa.array(score[r, c].astype(np.int64))], ["q", "vec_id", "score"])
+    return r, found[r, c], score[r, c]
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
@@ -93,21 +107,20 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     rows = whole(vectors, scale)
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score long"
-    if size is None or not size.d:
-        return spark.createDataFrame([], schema)
-    rows = staged(rows.where(F.size("v") == size.d), "vectors")
+    rows = staged(rows, "vectors")
     blocks = staged(_blocked(rows), "blocks")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    n = queries.count()
-    chunks = max(1, -(-n * size.d * 8 // CHUNK))
+    total = queries.agg(F.sum(F.size("v") + 1)).first()[0] or 0
+    chunks = max(1, -(-total * 8 // CHUNK))
     out = None
     for c in range(chunks):  # of a fixed size each
         got = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).orderBy("vec_id").collect()
         if not got:
             continue
-        chunk = np.array([r.vec_id for r in got], np.int64), np.array([r.v for r in got], np.float64)
+        sizes = np.array([len(r.v) for r in got])
+        by_size = {int(d): (at := np.flatnonzero(sizes == d), np.array([got[i].v for i in at], np.float64)) for d in np.unique(sizes)}
+        chunk = np.array([r.vec_id for r in got], np.int64), by_size
         sent = spark.sparkContext.broadcast(chunk)
         run = functools.partial(_sent, sent, k)
         w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")

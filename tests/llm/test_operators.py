@@ -202,6 +202,19 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_of_each_length(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.normal(size=(8, 8, 3, 5)[i % 4 if i % 50 else i // 50 % 4])]) for i in range(400)] + [(450, []), (451, [])]
+    got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in vectors]
+    want = Counter()
+    for i, v in whole:
+        if i % 50 == 0:
+            best = sorted((-int(v @ w), j) for j, w in whole if j != i and len(w) == len(v))[:5]
+            want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
+    assert many(got) == want and len({i for i, *_ in want}) == 9
+
+
 # --- 4
 
 
