@@ -393,16 +393,24 @@ def write_bmp(width: int, height: int, bits: int, pixels: bytes, palette: bytes
     return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, bits, 0, len(body), 2835, 2835, len(palette) // 4, 0) + palette + body
 
 
-def read_bmp(data: bytes) -> tuple[int, int, int, bytes]:
-    """width, height, bits and packed rows from the top of an uncompressed BMP."""
+def bmp_header(data: bytes) -> tuple[int, int, int, int, int]:
+    """start of the pixels, width, height (negative: from the top), bits and packing of a BMP, run-length or not."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP")
     start, size, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing not in (0, 3) or width <= 0 or not height or size < 40:
+    if width <= 0 or not height or size < 40 or packing > 3 or (packing in (1, 2) and bits != 8 // packing):
         raise ValueError("a kind of BMP that isn't read")
-    row, stride = (width * bits + 7) // 8, (width * bits + 31) // 32 * 4
-    if start + stride * abs(height) > len(data):
+    if start + (0 if packing in (1, 2) else (width * bits + 31) // 32 * 4 * abs(height)) > len(data):
         raise ValueError("the pixels are cut short")
+    return start, width, height, bits, packing
+
+
+def read_bmp(data: bytes) -> tuple[int, int, int, bytes]:
+    """width, height, bits and packed rows from the top of an uncompressed BMP."""
+    start, width, height, bits, packing = bmp_header(data)
+    if packing not in (0, 3):
+        raise ValueError("a kind of BMP that isn't read")
+    row, stride = (width * bits + 7) // 8, (width * bits + 31) // 32 * 4
     lines = [data[start + y * stride : start + y * stride + row] for y in range(abs(height))]
     return width, abs(height), bits, b"".join(lines[::-1] if height > 0 else lines)
 
@@ -429,6 +437,16 @@ def read_wave(data: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("no samples")
 
 
+def png_header(data: bytes) -> tuple[int, int, int, int, int, int, int]:
+    """width, height, depth, colour, packing, filter and interlace of a PNG, interlaced or not."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or data[8:16] != b"\0\0\0\rIHDR" or len(data) < 33:
+        raise ValueError("not a PNG")
+    head = struct.unpack_from(">IIBBBBB", data, 16)
+    if not head[0] or not head[1] or head[2] not in (1, 2, 4, 8, 16) or head[3] not in (0, 2, 3, 4, 6) or head[4] or head[5] or head[6] > 1:
+        raise ValueError("not a PNG")
+    return head
+
+
 def read_png(data: bytes) -> tuple[int, int, int, bytes]:
     """width, height, bits of a pixel and unfiltered rows of a PNG that isn't interlaced."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":

@@ -321,8 +321,8 @@ def default_registry() -> Registry:
             Reader("xp3", ("xp3", "exe"), ((MAGIC3, 0),), xp3_entries, xp3_read),
             Reader("adpack32", ("pak",), ((b"ADPACK32", 0),), pack32_entries, stored),
             *(f.reader() for f in FAMILY),
-            Reader("bmp", ("bmp",), ((b"BM", 0),), _single(codecs.read_bmp), stored, -1),
+            Reader("bmp", ("bmp",), ((b"BM", 0),), _single(codecs.bmp_header), stored, -1),
             Reader("wav", ("wav",), ((b"RIFF", 0),), _single(codecs.read_wave), stored, -1),
-            Reader("png", ("png",), ((b"\x89PNG\r\n\x1a\n", 0),), _single(codecs.read_png), stored, -1),
+            Reader("png", ("png",), ((b"\x89PNG\r\n\x1a\n", 0),), _single(codecs.png_header), stored, -1),
         ]
     )
