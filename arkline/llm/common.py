@@ -8,8 +8,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches hold at most this many rows and bytes, so that very long texts don't fill a worker.
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="arkline-")
@@ -117,6 +121,33 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.withColumn("_again", more).join(right.withColumn("_again", more), [*keys, "_again"], how).drop("_again")
 
 
+#: Bits of a filter of row keys: a fixed size (4 MiB) whatever the input.  When it fills up it holds less back; what it lets pass is joined exactly.
+FILTER_BITS = 1 << 25
+_GROUP_BITS = 1 << 15
+
+
+def _bit(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+
+
+def key_filter(rows: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Adds to a table with the columns ``keys`` whether a row of ``rows`` may have its keys (column _met); false is certain.
+
+    The bits are set where the rows lie and put together in groups; the driver gets FILTER_BITS bits at most."""
+    marked = rows.select(_bit(keys).alias("at")).groupBy((F.col("at") / _GROUP_BITS).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("at") % _GROUP_BITS).alias("bits"))
+    bits = np.zeros((FILTER_BITS // _GROUP_BITS, _GROUP_BITS // 8), np.uint8)
+    for k, found in marked.collect():
+        bits[k] = np.frombuffer(found, np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def met(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((sent.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return lambda df: df.withColumn("_met", met(_bit(keys)))
+
+
 def wide(spark: SparkSession, least: int = 1) -> int:
     """Partitions to deal rows over: the session's number of shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
