@@ -21,7 +21,7 @@ from .shingles import U, mixed, numbers
 
 TURN_BITS = 2
 #: Members that a task sorts together, copies of a key in them that make it hot, and members that are brought together for one block of keys.
-CHUNK, LOCAL, BLOCK = 1 << 20, 64, 1 << 21
+CHUNK, LOCAL, BLOCK = 1 << 19, 64, 1 << 21
 #: Star rows of a hot key that are sent in one block.
 SENT = 1 << 16
 _TURN = numbers(23, 1 << TURN_BITS)
