@@ -5,8 +5,9 @@ random projections (a Gaussian kernel in the limit).  Ridge scores come from nor
 adds up; a part of the labelled rows that the ridge doesn't see turns scores into probabilities by pooling adjacent
 violators.  Only a bounded sample of labelled rows is fitted (SAMPLE rows, by a hash of doc_id); all rows are scored.
 
-Cases: a null text counts as empty, and an empty text has a score.  Without at least 20 labelled rows of both
-labels every row gets the share of label 1 (or 0.5), and ``kept`` keeps all.  Labels of null are left out; repeated labels count as often as they
+Cases: a null text counts as empty, and an empty text has a score.  Without labelled rows of both
+labels every row gets the share of label 1 (or 0.5), and ``kept`` keeps all.  A text of any length is read whole; it takes some ten times its size
+in a worker.  Labels of null are left out; repeated labels count as often as they
 stand.  Columns of the labels other than doc_id and quality, and of the documents other than doc_id and text, are not used.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import BATCH_BYTES, BATCH_ROWS, arrow_map, keeping_columns, staged
 
 #: Labelled rows that are fitted at most, cosines, ridge weight, partitions that sum, and the share kept for calibration.
-SAMPLE, COSINES, RIDGE, PARTS, CALIBRATION = 40_000, 320, 1.0, 12, 4
+SAMPLE, COSINES, RIDGE, PARTS, CALIBRATION = 40_000, 320, 0.01, 12, 4
 THRESHOLD = 0.7
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:", b"!", b"?", b"\"'()-", b"|", b"%&$#*@^~", b"<>{}[]\\/=_+`"]
@@ -85,9 +86,7 @@ class Model:
         return cosines((x - self.mean) / self.scale) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = self.raw(x)
-        # a little of the raw score keeps the order within a level
-        return np.clip(0.98 * np.interp(raw, self.at, self.level) + 0.02 * np.clip(raw, 0, 1), 0, 1)
+        return np.clip(np.interp(self.raw(x), self.at, self.level), 0, 1)
 
 
 def cosines(x: np.ndarray) -> np.ndarray:
@@ -99,15 +98,21 @@ def cosines(x: np.ndarray) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising levels of y over x by pooling adjacent violators; at most 200 blocks to begin with, of 5 rows or more."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []
-    for part in np.array_split(order, max(1, min(200, len(x) // 5))):
-        blocks.append([len(part), y[part].mean(), x[part].mean()])
-        while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
-            (n, u, s), (m, v, t) = blocks[-2:]
-            blocks[-2:] = [[n + m, (n * u + m * v) / (n + m), (n * s + m * t) / (n + m)]]
-    return np.array([b[2] for b in blocks]), np.array([b[1] for b in blocks])
+    """The isotonic regression of y on x by pooling adjacent violators, row by row: the least and the greatest x of each block, with its
+    level.  Rows of equal x are one block to begin with; scores between two blocks are interpolated."""
+    values, of, n = np.unique(x, return_inverse=True, return_counts=True)
+    total = np.bincount(of, y, len(values))
+    blocks: list[list] = []
+    for k in range(len(values)):
+        blocks.append([int(n[k]), float(total[k]), k, k])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            m, t, _, end = blocks.pop()
+            blocks[-1][0] += m
+            blocks[-1][1] += t
+            blocks[-1][3] = end
+    at = [values[k] for b in blocks for k in dict.fromkeys(b[2:])]
+    level = [b[1] / b[0] for b in blocks for _ in dict.fromkeys(b[2:])]
+    return np.array(at), np.array(level)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -117,7 +122,7 @@ def held_out(doc_id: Column) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("_of"), F.col("quality").cast("int").alias("_y")).where("_of is not null and _y is not null").where(~held_out(F.col("_of")))
     total, ones = known.agg(F.count("*"), F.sum("_y")).first()
-    if total < 20 or ones in (0, total):
+    if ones in (None, 0, total):
         level = np.full(2, ones / total if total else 0.5)
         return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(COSINES + 1), np.array([0.0, 1.0]), level, False)
     # at most about ``sample`` rows of 12 bytes: small enough to send to every task
@@ -134,7 +139,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     part = F.pmod(F.xxhash64("_of", F.lit(5)), F.lit(CALIBRATION * PARTS)).cast("int")
     rows = staged(arrow_map(joined.select("text", "_y", part.alias("part")), make, "x array<double>, y int, part int"), "statistics")
 
-    def summed(transform, where):
+    def summed(transform, where, size):
         """The sum over all rows of transform(x, y)' transform(x, y): each of at most PARTS tasks sums its own."""
 
         def run(batches):
@@ -148,18 +153,20 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["z"])
 
         got = [np.frombuffer(r[0]) for r in rows.where(where).coalesce(PARTS).mapInArrow(run, "z binary").collect()]
-        z = np.sum(got, 0)
-        return z.reshape(int(np.sqrt(len(z))), -1)
+        z = np.sum(got, 0) if got else np.zeros(size**2)
+        return z.reshape(size, size)
 
-    s = summed(lambda x, y: np.hstack([np.ones((len(x), 1)), x]), "true")
-    mean = s[0, 1:] / s[0, 0]
-    scale = np.sqrt(np.maximum(np.diag(s)[1:] / s[0, 0] - mean**2, 1e-8))
+    s = summed(lambda x, y: np.hstack([np.ones((len(x), 1)), x]), "true", N_STATS + 1)
+    n = max(1.0, s[0, 0])  # labels may belong to no document here
+    mean = s[0, 1:] / n
+    scale = np.sqrt(np.maximum(np.diag(s)[1:] / n - mean**2, 1e-8))
     scale[scale < 1e-3] = 1
-    z = summed(lambda x, y: np.hstack([cosines((x - mean) / scale), y[:, None]]), f"part % {CALIBRATION} <> 0")
-    weights = np.linalg.solve(z[:-1, :-1] + RIDGE * np.eye(COSINES + 1) * 1e-2, z[:-1, -1])
+    z = summed(lambda x, y: np.hstack([cosines((x - mean) / scale), y[:, None]]), f"part % {CALIBRATION} <> 0", COSINES + 2)
+    weights = np.linalg.solve(z[:-1, :-1] + RIDGE * np.eye(COSINES + 1), z[:-1, -1])
     model = Model(mean, scale, weights, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     rest = rows.where(f"part % {CALIBRATION} = 0").select("x", "y").collect()  # a fourth of the bounded sample
-    model.at, model.level = isotonic(model.raw(np.array([r[0] for r in rest])), np.array([r[1] for r in rest], float))
+    if rest:  # else the ridge score itself, cut to 0 to 1
+        model.at, model.level = isotonic(model.raw(np.array([r[0] for r in rest])), np.array([r[1] for r in rest], float))
     return model
 
 
