@@ -106,12 +106,14 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: i
 def _kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` with _lines and _gone."""
     d, th = _identity(docs)
-    joined = docs.withColumns({"_d": d, "_th": th}).join(gone.select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("gone").alias("_gone")).hint("shuffle_hash"), ["_d", "_th"], "left")
+    joined = docs.withColumns({"_d": d, "_th": th}).join(gone.select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("gone").alias("_gone")), ["_d", "_th"], "left")
     return joined.withColumn("_lines", lines_of(F.col("text")))
 
 
 def kept_text() -> Column:
-    return F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    # the numbers that stay, by one hash of those that go
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    return F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
 
 
 def counts(docs: DataFrame) -> DataFrame:
