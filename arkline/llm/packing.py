@@ -8,10 +8,12 @@ The counts alone are planned, on the driver, over at most ``capacity`` numbers:
    one that fits, if no two others fit beside it, or if no three do and no two that fit weigh more than that one.
 2. Best fit.  What is left goes, longest first, to the open sequence with the least room that is enough.
 
-Both treat equal pieces together, so the plan is a list of a few thousand kinds of sequence with a multiplicity.  Pieces are
-then numbered within their length (salted, so a frequent length is shared among tasks) and look their place up.
+Both treat equal pieces together, so the plan is a list of a few thousand kinds of sequence with a multiplicity, however many pieces there are.
+Pieces are then numbered within their length (salted, so a frequent length is shared among tasks) and look their place up; full
+pieces, the most of a corpus of long texts, are numbered where they lie.
 
-Cases: a null or empty text is the end token alone.  Repeated rows are packed once each.  An empty table gives no rows.
+Cases: a null or empty text is the end token alone.  Repeated rows are packed once each; a null doc_id is a document like others.  A very long text is
+encoded whole and takes some thirty times its size in a worker.  An empty table gives no rows.
 Other columns are ignored.
 """
 
@@ -148,7 +150,8 @@ def reduction(count: list[int], capacity: int) -> list[tuple[tuple[tuple[int, in
                 pair = top <= best
             if not pair:
                 break
-            fix(1 if best == j else min(count[j], count[best]), j, best)
+            # the tests look at three other pieces of this length at most: while there are more, all pairs of it stand as one
+            fix(max(1, (count[j] - 4) // 2) if best == j else min(count[j], count[best]), j, best)
     return fixed
 
 
@@ -208,14 +211,18 @@ def places(kinds: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int, np
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (as ``pieces`` makes them)."""
-    parts = staged(parts, "pieces")
+    """Adds sequence_id and offset to pieces (as ``pieces`` makes them).
+
+    A full piece is a sequence of its own: it is numbered where it lies, after the planned sequences."""
+    every = staged(parts, "pieces")
+    parts = every.where(F.col("length") < capacity)
     counted = parts.groupBy("length", "salt").count().collect()  # at most capacity x SALTS rows
     number = np.zeros((capacity + 1, SALTS), np.int64)
     for length, salt, n in counted:
         number[length, salt] = n
     total = number.sum(1)
-    place = places(plan([int(x) for x in total], capacity)[0])
+    kinds = plan([int(x) for x in total], capacity)[0]
+    place = places(kinds)
     first = np.cumsum(number, 1) - number
 
     def assign(batches):
@@ -239,9 +246,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[a:b] = row[:, 3] + nth % row[:, 2] * s
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
+    first_full = sum(times for _, times in kinds)
+    full = every.where(F.col("length") >= capacity).drop("salt").withColumns({"sequence_id": F.monotonically_increasing_id() + F.lit(first_full), "offset": F.lit(0).cast("long")})
     n = wide(parts.sparkSession)
     dealt = parts.repartition(n, "length", "salt").sortWithinPartitions("length", "salt", "doc_id", "piece", "start", "ids_crc32")
-    return dealt.mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").union(full)
 
 
 def packed(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
