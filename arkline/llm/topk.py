@@ -5,8 +5,9 @@ greatest and least value of each component.  For a query the maxima of all compo
 blocks are scored by falling bound until the bound is below the k-th score that the query has so far.  Pairs of equal score are
 never cut off, so ties go to the smaller vec_id exactly.
 
-Queries are taken in chunks of a fixed size (CHUNK bytes), each sent to all tasks; a task gives its k best of each query, and these
-are merged by query.  Sums are exact: products of whole numbers below 2**53 in double precision.
+Queries are taken in chunks of a fixed size (CHUNK bytes), each sent to all tasks; a task reads blocks of WINDOW bytes at a time, gives its k best of
+each query, and these are merged by query.  Sums are exact: in double precision where length times greatest value squared is below 2**53, in 64-bit
+integers where it is below 2**63.  Beyond that a score may not fit a long, and the search raises an error.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part.  Vectors are compared with those of their
 own length only.  Rows that repeat a vec_id are candidates each; a query's own vec_id is none.  Fewer
@@ -28,6 +29,10 @@ from .common import staged, wide
 K, SCALE, EVERY = 5, 256, 50
 #: Vectors of a block, and bytes of a chunk of queries.
 BLOCK, CHUNK = 256, 16 << 20
+#: Stands for no score: no inner product that fits is so small.
+_NONE = np.iinfo(np.int64).min
+#: Bytes of blocks that a task holds at a time.
+WINDOW = 64 << 20
 
 
 def whole(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -44,7 +49,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
         d, ids, values = None, [], []
 
         def block(n):
-            i, v = np.array(ids[:n], np.int64), np.array(values[:n], np.float64)
+            i, v = np.array(ids[:n], np.int64), np.array(values[:n], np.int64)
             del ids[:n], values[:n]
             return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (i, v, v.max(0), v.min(0)))], ["d", "ids", "v", "hi", "lo"])
 
@@ -65,41 +70,64 @@ def _blocked(rows: DataFrame) -> DataFrame:
 def _search(chunk: tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]], k: int, batches):
     """The k best candidates in this task for each query of the chunk, among vectors of its length."""
     own, by_size = chunk
-    held = defaultdict(list)
+    best = {d: Best(own[at], q, k) for d, (at, q) in by_size.items()}
+    held: dict[int, list] = defaultdict(list)
+    size = 0
     for b in batches:
         for d, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if d in by_size:
-                ids, v, hi, lo = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, *[np.float64] * 3), strict=True))
+                ids, v, hi, lo = (np.frombuffer(x, np.int64) for x in row)
                 held[d].append((ids, v.reshape(len(ids), d), hi, lo))
+                size += v.nbytes
+        if size > WINDOW:
+            for d, blocks in held.items():
+                best[d].add(blocks)
+            held.clear()
+            size = 0
     for d, blocks in held.items():
-        at, q = by_size[d]
-        r, found, score = _best(own[at], q, k, blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(at[r], pa.int64()), pa.array(found), pa.array(score.astype(np.int64))], ["q", "vec_id", "score"])
-
-
-def _best(own: np.ndarray, q: np.ndarray, k: int, blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of q, vec_ids and scores of the k best of each in blocks of one length."""
-    high, low = (np.array([b[i] for b in blocks]) for i in (2, 3))
-    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    order = np.argsort(-bound, axis=1, kind="stable")
-    score = np.full((len(q), k), -np.inf)
-    found = np.full((len(q), k), np.iinfo(np.int64).max)
-    active = np.arange(len(q))
-    for turn in range(len(blocks)):
-        active = active[bound[active, order[active, turn]] >= score[active, -1]]
-        if not len(active):
-            break
-        mine = order[active, turn]
-        for b in np.unique(mine):
-            rows = active[mine == b]
-            ids, v = blocks[b][:2]
-            s = q[rows] @ v.T
-            s[own[rows][:, None] == ids[None]] = -np.inf
-            s, i = np.hstack([score[rows], s]), np.hstack([found[rows], np.broadcast_to(ids, s.shape)])
-            best = np.lexsort((i, -s), axis=1)[:, :k]
-            score[rows], found[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
-    r, c = np.nonzero(np.isfinite(score))
-    return r, found[r, c], score[r, c]
+        best[d].add(blocks)
+    for d, (at, _) in by_size.items():
+        r, found, score = best[d].found()
+        yield pa.RecordBatch.from_arrays([pa.array(at[r], pa.int64()), pa.array(found), pa.array(score)], ["q", "vec_id", "score"])
+
+
+class Best:
+    """The k best candidates so far of each query (all of one length)."""
+
+    def __init__(self, own: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.own, self.q, self.k = own, q, k
+        self.score = np.full((len(q), k), _NONE)
+        self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.greatest = int(np.abs(q).max(initial=0))
+
+    def add(self, blocks: list[tuple]) -> None:
+        """Scores blocks by falling bound until the bound is below a query's k-th score."""
+        q, score, found = self.q, self.score, self.ids
+        high, low = (np.array([b[i] for b in blocks]) for i in (2, 3))
+        most = self.greatest * int(max(np.abs(high).max(initial=0), np.abs(low).max(initial=0))) * max(1, q.shape[1])
+        kind = np.float64 if most < 1 << 53 else np.int64
+        bound = np.maximum(q, 0).astype(kind) @ high.T.astype(kind) + np.minimum(q, 0).astype(kind) @ low.T.astype(kind)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        mine_q = q.astype(kind)
+        active = np.arange(len(q))
+        for turn in range(len(blocks)):
+            active = active[bound[active, order[active, turn]] >= score[active, -1]]
+            if not len(active):
+                break
+            mine = order[active, turn]
+            for b in np.unique(mine):
+                rows = active[mine == b]
+                ids, v = blocks[b][:2]
+                s = (mine_q[rows] @ v.T.astype(kind)).astype(np.int64)
+                s[self.own[rows][:, None] == ids[None]] = _NONE
+                s, i = np.hstack([score[rows], s]), np.hstack([found[rows], np.broadcast_to(ids, s.shape)])
+                best = np.lexsort((i, ~s), axis=1)[:, : self.k]  # ~s falls as s rises, for all longs
+                score[rows], found[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of q, vec_ids and scores."""
+        r, c = np.nonzero(self.score != _NONE)
+        return r, self.ids[r, c], self.score[r, c]
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
@@ -111,6 +139,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     rows = staged(rows, "vectors")
     blocks = staged(_blocked(rows), "blocks")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    top, size = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("decimal(20,0)"))))), F.max(F.size("v"))).first()
+    if top and int(top) ** 2 * size >= 1 << 63:
+        raise ValueError("inner products of these vectors may not fit a long")
     total = queries.agg(F.sum(F.size("v") + 1)).first()[0] or 0
     chunks = max(1, -(-total * 8 // CHUNK))
     out = None
@@ -119,7 +150,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
         if not got:
             continue
         sizes = np.array([len(r.v) for r in got])
-        by_size = {int(d): (at := np.flatnonzero(sizes == d), np.array([got[i].v for i in at], np.float64)) for d in np.unique(sizes)}
+        by_size = {int(d): (at := np.flatnonzero(sizes == d), np.array([got[i].v for i in at], np.int64).reshape(len(at), d)) for d in np.unique(sizes)}
         chunk = np.array([r.vec_id for r in got], np.int64), by_size
         sent = spark.sparkContext.broadcast(chunk)
         run = functools.partial(_sent, sent, k)

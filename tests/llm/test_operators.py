@@ -136,6 +136,19 @@ def test_packing_plan():
         assert held == count
 
 
+def test_packing_plan_of_very_many_pieces():
+    for length in (401, 512, 300, 1):
+        count = [0] * 1025
+        count[length], count[700] = 10**8, 10**6
+        kinds, _ = packing.plan(count, 1024)
+        assert len(kinds) < 50
+        held = [0] * 1025
+        for kind, times in kinds:
+            for s, q in kind:
+                held[s] += q * times
+        assert held == count
+
+
 def fewest(lengths: list[int], capacity: int) -> int:
     """Least number of sequences, by trying everything."""
     best = len(lengths)
@@ -215,6 +228,27 @@ def test_top_k_of_each_length(spark):
     assert many(got) == want and len({i for i, *_ in want}) == 9
 
 
+def test_top_k_is_exact_beyond_doubles_and_prunes(spark):
+    vectors = [(0, [768000001 / 256, 0.0]), (1, [768000001 / 256, 0.0]), (2, [768000000 / 256, 0.0]), (3, [-768000001 / 256, 5.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 768000001**2), (0, 2, 2, 768000001 * 768000000), (0, 3, 3, -(768000001**2))]
+    with pytest.raises(ValueError, match="fit a long"):
+        topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"))
+    # two far groups: blocks of the other group are never scored
+    rng = np.random.default_rng(5)
+    near, far = rng.integers(900, 1000, (256, 4)), rng.integers(-1000, -900, (256, 4))
+    blocks = [(np.arange(256) + 256 * i, v, v.max(0), v.min(0)) for i, v in enumerate((near, far))]
+
+    seen = []
+    best = topk.Best(np.array([7]), near[7:8], 5)
+    watched = [(i, type("V", (), {"T": property(lambda s, v=v, n=n: (seen.append(n), v.T)[1])})(), h, lo) for n, (i, v, h, lo) in enumerate(blocks)]
+    best.add(watched)
+    assert seen == [0]
+    r, ids, score = best.found()
+    want = sorted((-int(near[7] @ near[j]), j) for j in range(256) if j != 7)[:5]
+    assert list(zip((-score).tolist(), ids.tolist(), strict=True)) == want
+
+
 # --- 4
 
 
@@ -499,9 +533,54 @@ def test_quality_looks_at_every_word():
             assert quality.statistics(" ".join(words))[-2:].tolist() == [share, share]
 
 
-@pytest.mark.parametrize("n", [0, 1, 500])
-def test_isotonic_rises(n):
+@pytest.mark.parametrize("n", [1, 2, 500])
+def test_isotonic_is_the_min_max_formula(n):
     rng = np.random.default_rng(n)
-    x = rng.uniform(size=n)
-    at, level = quality.isotonic(x, (rng.uniform(size=n) < x).astype(float)) if n else (np.zeros(0), np.zeros(0))
-    assert (np.diff(at) > 0).all() and (np.diff(level) > 0).all()
+    x = rng.integers(0, 60, n) / 60  # with ties
+    y = (rng.uniform(size=n) < x).astype(float)
+    at, level = quality.isotonic(x, y)
+    assert (np.diff(at) > 0).all() and (np.diff(level) >= 0).all()
+    values = np.unique(x)
+    mean = lambda a, b: y[(x >= a) & (x <= b)].mean()
+    want = [max(min(mean(a, b) for b in values if b >= v) for a in values if a <= v) for v in values]
+    assert np.abs(np.interp(values, at, level) - want).max() < 1e-9
+
+
+def test_quality_is_plain_ridge_on_cosines(spark):
+    """All steps of the fit again, in plain numpy over rows on the driver."""
+    import random
+
+    from .data import words
+
+    rng = random.Random(16)
+    docs, labels = [], []
+    for i in range(300):
+        text = words(rng, rng.randint(1, 120))
+        good = rng.random() < (0.9 if i % 3 else 0.2)
+        docs.append((i, text if i % 3 else text.upper(), None, None, 0, None, None, None))
+        labels.append((i, int(good)))
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.fitted(documents(spark, docs), known)
+    part = {r.doc_id: r.part for r in known.selectExpr("doc_id", f"int(pmod(xxhash64(doc_id, 5), {quality.CALIBRATION * quality.PARTS})) as part").collect()}
+    used = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.array([quality.statistics(docs[i][1]) for i in used])
+    y = np.array([labels[i][1] for i in used], float)
+    fit = np.array([part[i] % quality.CALIBRATION != 0 for i in used])
+    mean, scale = x.mean(0), np.sqrt(np.maximum((x**2).mean(0) - x.mean(0) ** 2, 1e-8))
+    scale[scale < 1e-3] = 1
+    z = quality.cosines((x - mean) / scale)
+    weights = np.linalg.solve(z[fit].T @ z[fit] + quality.RIDGE * np.eye(z.shape[1]), z[fit].T @ y[fit])
+    raw = z @ weights
+    at, level = quality.isotonic(raw[~fit], y[~fit])
+    got = {r.doc_id: r.score for r in quality.qualities(documents(spark, docs), known).collect()}
+    assert np.abs(model.raw(x) - raw).max() < 1e-6
+    assert np.abs(np.array([got[i] for i in used]) - np.clip(np.interp(raw, at, level), 0, 1)).max() < 0.02
+    assert np.median(np.abs(np.array([got[i] for i in used]) - np.clip(np.interp(raw, at, level), 0, 1))) < 1e-6
+
+
+def test_quality_with_few_labels(spark):
+    docs = documents(spark, [(i, f"some text {i}", None, None, 0, None, None, None) for i in range(6)])
+    known = spark.createDataFrame([(0, 1), (1, 0), (900, 1), (901, 0)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in quality.qualities(docs, known).collect())
+    elsewhere = spark.createDataFrame([(900 + i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert quality.qualities(docs, elsewhere).count() == 6
