@@ -56,7 +56,7 @@ def test_pii_base_spans(spark):
         marks = [f"{PATTERNS[k][0]}:{s}:{e}" for s, k, e in spans]
         assert got[i].base_sha256 == hashlib.sha256(",".join(marks).encode()).hexdigest(), text
         assert set(marks) <= set(got[i].spans.split(",")) | {""}
-        assert got[i].n_email == sum(k == 0 for _, k, _ in spans)
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(k == i for _, k, _ in spans) for i in range(4))
 
 
 def test_pii_redacts(spark):
@@ -89,6 +89,24 @@ def test_pii_finds_what_base_rules_cannot(spark):
     assert got == {0: "", 1: "phone:13:27"}
 
 
+def test_pii_in_a_text_of_very_many_spans(spark):
+    """A megabyte of phones that the base rules find and that they don't, in seconds."""
+    import time
+
+    rng = np.random.default_rng(2)
+    some = [f"ring +1 ({a}) {b}-{c} or phone ({a}) {b}-{d}, " for a, b, c, d in rng.integers((200, 200, 1000, 1000), (999, 999, 9999, 9999), (20_000, 4))]
+    text = "".join(some)
+    docs = spark.createDataFrame([(0, text), (0, text[:4000])] + [(i, "".join(some[i * 3 : i * 3 + 3])) for i in range(1, 120)], "doc_id long, text string")
+    began = time.time()
+    got = sorted(pii.found(docs).where("doc_id = 0").collect(), key=lambda r: len(r.spans))
+    assert time.time() - began < 240
+    spans = base_spans(text)
+    assert got[1].n_phone == len(spans) == 20_000
+    assert got[1].base_sha256 == hashlib.sha256(",".join(f"{PATTERNS[k][0]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+    found = [tuple(map(int, x.split(":")[1:])) for x in got[1].spans.split(",")]
+    assert found == sorted(found) and len(found) == len(set(found)) and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
 # --- 2
 
 
