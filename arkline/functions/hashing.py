@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -57,11 +58,20 @@ def stable_id(prefix: str, canonical_text: Column) -> Column:
 
 
 def digest(rows_json: Column) -> Column:
-    """One hash of all rows' JSON, whatever their order (an aggregate).  Sums of two independent 64-bit halves combine in each task, so no list is
-    gathered."""
-    h = F.sha2(rows_json.cast("binary"), 256)
-    half = lambda k: F.sum(F.conv(F.substring(h, k, 15), 16, 10).cast("decimal(38,0)"))
-    return F.sha2(F.concat_ws(":", F.count(h).cast("string"), half(1).cast("string"), half(17).cast("string"), half(33).cast("string")).cast("binary"), 256)
+    """One hash of a bounded number of rows' JSON, whatever their order (an aggregate): the hash of their sorted hashes.  ``digest_of`` does the same for a
+    table of any size."""
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(rows_json.cast("binary"), 256))), "").cast("binary"), 256)
+
+
+def digest_of(rows: DataFrame, rows_json: Column) -> str:
+    """One hash of all rows' JSON, whatever their order: a tree of hashes.  Rows are grouped by the first digits of their hash, a group's hash is that of its
+    members' in order, and so on upwards, so no list grows beyond what a group holds."""
+    at = rows.select(F.sha2(rows_json.cast("binary"), 256).alias("h")).withColumn("g", F.substring("h", 1, 5))
+    for digits in (3, 1, 0):
+        joined = F.array_join(F.array_sort(F.collect_list("h")), "")
+        at = at.groupBy("g").agg(F.sha2(F.concat("g", joined).cast("binary"), 256).alias("h")).select(F.concat("g", "h").alias("h"), F.substring("g", 1, digits).alias("g"))
+    got = at.select("h").orderBy("h").collect()  # one row for each first digit
+    return hashlib.sha256("".join(r.h for r in got).encode()).hexdigest()
 
 
 @F.pandas_udf(T.StringType())

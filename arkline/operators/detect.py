@@ -25,17 +25,17 @@ def signature_matches(files: DataFrame, content: str, signatures: list[tuple[str
 def candidates(files: DataFrame, key: str, ext: str, signed: DataFrame, formats: DataFrame) -> DataFrame:
     """key, format_id, sig_match, ext_match and the registry's columns for each format that a file is a candidate of.
 
-    A format with signatures needs a match, or its extension if it falls back to it; one bound to extensions needs one of
-    these as well; one with no signature is met by extension, or by every file if it has none of these either."""
+    A format with signatures needs a match, unless it may do without one (ext_fallback): then every file is a candidate.  One bound to extensions
+    needs one of these as well; one with no signature is met by extension, or by every file if it has none of these either."""
     byext = formats.select("*", F.explode("extensions").alias("_ext"))
     by_ext = files.select(key, F.col(ext).alias("_ext")).join(F.broadcast(byext.select("format_id", F.lower("_ext").alias("_ext"))), "_ext").select(key, "format_id", F.lit(True).alias("ext_match"))
     by_sig = signed.select(key, "format_id", F.lit(True).alias("sig_match"))
-    bare = formats.where(~F.col("has_signatures") & (F.size("extensions") == 0)).select("format_id")
+    bare = formats.where(F.when(F.col("has_signatures"), F.col("ext_fallback")).otherwise(F.size("extensions") == 0) & ~F.col("ext_only")).select("format_id")
     for_all = files.select(key).join(F.broadcast(bare.withColumn("_1", F.lit(1))), F.lit(1) == F.col("_1")).select(key, "format_id")
     every = by_sig.withColumn("ext_match", F.lit(None).cast("boolean")).unionByName(by_ext.withColumn("sig_match", F.lit(None).cast("boolean"))).unionByName(for_all.withColumns({"ext_match": F.lit(None).cast("boolean"), "sig_match": F.lit(None).cast("boolean")}))
     met = every.groupBy(key, "format_id").agg(F.coalesce(F.bool_or("sig_match"), F.lit(False)).alias("sig_match"), F.coalesce(F.bool_or("ext_match"), F.lit(False)).alias("ext_match"))
     out = met.join(F.broadcast(formats.drop("extensions")), "format_id")
-    gate = F.when(F.col("has_signatures"), F.col("sig_match") | (F.col("ext_fallback") & F.col("ext_match"))).otherwise(True)
+    gate = F.when(F.col("has_signatures"), F.col("sig_match") | F.col("ext_fallback")).otherwise(True)
     return out.where(gate & (~F.col("ext_only") | F.col("ext_match")))
 
 

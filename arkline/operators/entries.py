@@ -64,10 +64,16 @@ def offset_page(entries: DataFrame, order: list[str], offset: int = 0, limit: in
     return entries.orderBy(*order).offset(offset).limit(limit)
 
 
-def keyset_page(rows: DataFrame, path: str, cursor: str | None = None, limit: int = 200, ties: list[str] = ()) -> DataFrame:
-    """The rows after a cursor, in path order; the filter reaches the scan, so pages don't grow slower."""
+def keyset_page(rows: DataFrame, path: str, cursor: str | None = None, limit: int = 200, ties: list[str] = (), after: tuple | None = None) -> DataFrame:
+    """The rows after a cursor, in path order; the filter reaches the scan, so pages don't grow slower.
+
+    Where rows share a path, ``after`` has the last row's ``ties``: the rest of its path then comes first."""
     if cursor is not None:
-        rows = rows.where(F.col(path) > paths.path_of(cursor))
+        last = paths.path_of(cursor)
+        beyond, same = F.col(path) > last, F.col(path) == last
+        for tie, value in zip(ties, after or (), strict=False):
+            beyond, same = beyond | (same & (F.col(tie) > value)), same & (F.col(tie) == value)
+        rows = rows.where(beyond)
     return rows.orderBy(path, *ties).limit(limit)
 
 
@@ -77,6 +83,12 @@ def next_cursor(page: DataFrame, path: str, limit: int) -> str | None:
     return paths.cursor_of(got[limit - 1][0]) if len(got) > limit else None
 
 
+def next_ties(page: DataFrame, path: str, limit: int, ties: list[str]) -> tuple | None:
+    """The last row's ``ties``, beside ``next_cursor``."""
+    got = page.select(path, *ties).orderBy(path, *ties).take(limit + 1)
+    return tuple(got[limit - 1][1:]) if len(got) > limit else None
+
+
 def budget_page(rows: DataFrame, order: list[str], size: Column, budget: int, partition: list[str] = ()) -> DataFrame:
     """The longest prefix whose running size fits; within each partition key, if there is one."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -28,9 +28,22 @@ def totals(items: DataFrame, status: Column, packed: Column, size: Column) -> Da
 
 
 def violations(plan: DataFrame, limits: dict[str, tuple[str, int]]) -> DataFrame:
-    """budget, allowed, actual for each limit that a plan's totals exceed; an unknown total counts as 0.  ``limits`` is name: (column, most)."""
-    checks = [F.struct(F.lit(name).alias("budget"), F.lit(most).cast("long").alias("allowed"), F.coalesce(F.col(column), F.lit(0)).cast("long").alias("actual")) for name, (column, most) in limits.items()]
-    return plan.select(F.explode(F.array(*checks)).alias("c")).select("c.*").where("actual > allowed")
+    """budget, allowed, actual for each limit that a plan's totals exceed or, with a null actual, can't be shown to keep.  ``limits`` is name: (column, most)."""
+    checks = [F.struct(F.lit(name).alias("budget"), F.lit(most).cast("long").alias("allowed"), F.col(column).cast("long").alias("actual")) for name, (column, most) in limits.items()]
+    return plan.select(F.explode(F.array(*checks)).alias("c")).select("c.*").where("actual is null or actual > allowed")
+
+
+def resource_violations(items: DataFrame, status: Column, size: Column, most: int, budget: str = "maxDecodedBytesPerResource") -> DataFrame:
+    """The same for a limit of each ready item: a row for each item over it, and one with a null actual if a ready item's size is unknown."""
+    ready = items.where(status == "ready").select(F.lit(budget).alias("budget"), F.lit(most).cast("long").alias("allowed"), size.cast("long").alias("actual"))
+    return ready.where("actual > allowed").unionAll(ready.where("actual is null").distinct())
+
+
+def within_budgets(broken: DataFrame) -> None:
+    """Raises LIMIT_EXCEEDED where ``violations`` has rows: a plan that exceeds its budgets, or can't prove them, isn't run."""
+    got = broken.orderBy("budget").take(100)
+    if got:
+        raise ValueError("LIMIT_EXCEEDED: " + ", ".join(f"{r.budget} {'unknown' if r.actual is None else r.actual} of {r.allowed}" for r in got))
 
 
 def fold(extracted: Column, skipped: Column, failed: Column) -> Column:

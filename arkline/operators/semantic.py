@@ -78,16 +78,20 @@ def gap_counts(inventory: DataFrame, tracked: DataFrame, key: list[str], status:
 
 
 def gap_rules(gaps: DataFrame, key: str, status: str, disposition: str) -> DataFrame:
-    """(key, rule) broken by a record's gaps: complete has none planned or external, partial has one planned, blocked one external."""
+    """(key, rule) for each rule that a record's gaps break: complete has none planned and none external, partial has one planned, blocked one external."""
     have = gaps.groupBy(key).agg(F.min(status).alias("s"), F.coalesce(F.bool_or(F.col(disposition) == "planned"), F.lit(False)).alias("planned"), F.coalesce(F.bool_or(F.col(disposition) == "external"), F.lit(False)).alias("external"))
-    broken = F.expr("case when s = 'complete' and (planned or external) then 'complete-has-gaps' when s = 'partial' and not planned then 'partial-lacks-planned' when s = 'blocked' and not external then 'blocked-lacks-external' end")
-    return have.withColumn("rule", broken).where("rule is not null").select(key, "rule")
+    broken = F.expr("array_compact(array(if(s = 'complete' and planned, 'complete-has-planned', null), if(s = 'complete' and external, 'complete-has-external', null), if(s = 'partial' and not planned, 'partial-lacks-planned', null), if(s = 'blocked' and not external, 'blocked-lacks-external', null)))")
+    return have.select(key, F.explode(broken).alias("rule"))
 
 
-def companions(files: DataFrame, directory: str, stem: str, path: str) -> DataFrame:
-    """(path, companion): the other files of a file's folder and stem."""
-    other = files.select(directory, stem, F.col(path).alias("companion"))
-    return files.select(directory, stem, path).join(other, [directory, stem]).where(F.col(path) != F.col("companion")).select(path, "companion")
+def companions(files: DataFrame, directory: str, name: str, path: str) -> DataFrame:
+    """(path, companion): the other files of a file's folder whose names start with its own without the last extension, and a dot.
+
+    A name is listed under what stands before each of its dots, so the two meet by equality."""
+    before = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.array_join(F.slice("_p", 1, i), "."))
+    other = files.select(directory, F.col(path).alias("companion"), F.split(name, "[.]").alias("_p")).where("size(_p) > 1").select(directory, "companion", F.explode(before).alias("_base"))
+    own = files.select(directory, path, F.regexp_replace(name, r"\.[^.]*$", "").alias("_base")).where("_base <> ''")
+    return own.join(other, [directory, "_base"]).where(F.col(path) != F.col("companion")).select(path, "companion")
 
 
 def companion_named(files: DataFrame, directory: str, name: str, path: str, wanted: str) -> DataFrame:

@@ -13,17 +13,17 @@ STATUSES = ["verified", "inspected", "mismatch", "invalid", "failed"]
 
 
 def status(valid: Column, matched: Column) -> Column:
-    """invalid before mismatch before verified; without an expectation inspected."""
-    return F.when(~F.coalesce(valid, F.lit(True)), "invalid").when(~matched, "mismatch").when(matched, "verified").otherwise("inspected")
+    """invalid before mismatch before verified; with neither an expectation nor a valid structure inspected."""
+    return F.when(~valid, "invalid").when(~matched, "mismatch").when(matched | valid, "verified").otherwise("inspected")
 
 
 def level(expected: Column, valid: Column) -> Column:
-    return F.when(expected.isNotNull(), "manifest").when(valid.isNotNull(), "structural").otherwise("hash")
+    return F.when(expected.isNotNull(), "manifest").when(valid, "structural").otherwise("hash")
 
 
 def matched(actual_sha: Column, actual_bytes: Column, expected_sha: Column, expected_bytes: Column) -> Column:
-    """Whether all that was expected holds; null if nothing was."""
-    ok = F.coalesce(expected_sha == actual_sha, F.lit(True)) & F.coalesce(expected_bytes == actual_bytes, F.lit(True))
+    """Whether all that was expected holds (hashes in any case); null if nothing was.  What is expected and missing doesn't hold."""
+    ok = (expected_sha.isNull() | F.lower(expected_sha).eqNullSafe(actual_sha)) & (expected_bytes.isNull() | expected_bytes.eqNullSafe(actual_bytes))
     return F.when(expected_sha.isNotNull() | expected_bytes.isNotNull(), ok)
 
 

@@ -38,7 +38,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FILES = "SELECT page_id AS entry_id, regexp_extract(url, '://([^?#]*)', 1) AS path, url, html FROM pages"
-_EXT = r"lower(regexp_extract(path, '[^/]\.([^./]*)$', 1))"
+_EXT = r"lower(regexp_extract(path, '\.([^.]*)$', 1))"
 
 
 def _quoted(names: list[str]) -> str:
@@ -52,7 +52,7 @@ _TYPE = "CASE " + " ".join(f"WHEN {_EXT} IN ({_quoted(n)}) THEN '{k}'" for k, n
 def entry_page(spark: SparkSession, d: str) -> DataFrame:
     """Scan, classify, filter by glob, page."""
     files = entries.filtered(_files(spark, d), include=["**/en/**", "**/*.html"])
-    rows = files.select("entry_id", "path", entries.type_of(paths.extension(F.col("path"))).alias("resource_type"), F.octet_length("html").cast("long").alias("size"))
+    rows = files.select("entry_id", "path", entries.type_of(paths.last_dot_extension(F.col("path"))).alias("resource_type"), F.octet_length("html").cast("long").alias("size"))
     return entries.offset_page(rows, ["path", "entry_id"], 0, 100)
 
 
@@ -66,10 +66,10 @@ def entry_exclude_glob(spark: SparkSession, d: str) -> DataFrame:
     return entries.filtered(_files(spark, d), include=["**/en/*"], exclude=["www.*/**", "**/[0-4]*"]).select("entry_id", "path")
 
 
-@query(f"SELECT resource_type, count(*) AS n FROM (SELECT {_TYPE.replace('path', 'p')} AS resource_type FROM (SELECT path || ['.png', '.OGG', '.tjs', '.bin', ''][entry_id % 5 + 1] AS p FROM ({_FILES}))) GROUP BY 1")
+@query(f"SELECT resource_type, count(*) AS n FROM (SELECT {_TYPE.replace('path', 'p')} AS resource_type FROM (SELECT path || ['.png', '.OGG', '/.tjs', '.bin', ''][entry_id % 5 + 1] AS p FROM ({_FILES}))) GROUP BY 1")
 def entry_type_classify(spark: SparkSession, d: str) -> DataFrame:
-    ending = F.element_at(F.array(*map(F.lit, [".png", ".OGG", ".tjs", ".bin", ""])), (F.col("entry_id") % 5 + 1).cast("int"))
-    kind = entries.type_of(paths.extension(F.concat("path", ending)))
+    ending = F.element_at(F.array(*map(F.lit, [".png", ".OGG", "/.tjs", ".bin", ""])), (F.col("entry_id") % 5 + 1).cast("int"))
+    kind = entries.type_of(paths.last_dot_extension(F.concat("path", ending)))
     return _files(spark, d).groupBy(kind.alias("resource_type")).agg(F.count("*").alias("n"))
 
 
@@ -124,7 +124,7 @@ def formats(spark: SparkSession) -> DataFrame:
 
 _CANDIDATES = f"""c AS (SELECT doc_id, f.*, EXISTS (SELECT 1 FROM (VALUES {_SIGS}) s(sf, o, sig) WHERE sf = f.format_id AND substr(text, o + 1, length(sig)) = sig) AS sig_match, list_contains(exts, lang) AS ext_match
   FROM documents, (VALUES {_FORMATS}) f(format_id, reg_order, exts, priority, fb, eo, hs)),
-g AS (SELECT * FROM c WHERE (CASE WHEN hs THEN sig_match OR (fb AND ext_match) ELSE ext_match OR len(exts) = 0 END) AND (NOT eo OR ext_match))"""
+g AS (SELECT * FROM c WHERE (CASE WHEN hs THEN sig_match OR fb ELSE ext_match OR len(exts) = 0 END) AND (NOT eo OR ext_match))"""
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -191,26 +191,26 @@ def plan_totals(spark: SparkSession, d: str) -> DataFrame:
 _LIMITS = {"maxResources": ("ready_count", 1000), "maxPackedBytes": ("packed_bytes", 1 << 40), "maxOutputBytes": ("output_bytes", 1 << 20), "maxUnknown": ("unknown_count", 10)}
 
 
-@query(f"WITH t AS (SELECT {_TOTALS} FROM ({_PLAN})), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS budget, {n}::BIGINT AS allowed, coalesce({c}, 0)::BIGINT AS actual FROM t" for k, (c, n) in _LIMITS.items()) + ") SELECT * FROM c WHERE actual > allowed")
+@query(f"WITH t AS (SELECT {_TOTALS} FROM ({_PLAN})), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS budget, {n}::BIGINT AS allowed, {c}::BIGINT AS actual FROM t" for k, (c, n) in _LIMITS.items()) + ") SELECT * FROM c WHERE actual IS NULL OR actual > allowed")
 def budget_violations(spark: SparkSession, d: str) -> DataFrame:
     return plan.violations(plan_totals(spark, d), _LIMITS)
 
 
-_VERIFY = """SELECT doc_id, sha256(text) AS actual, CASE WHEN doc_id % 3 = 0 THEN sha256(text) WHEN doc_id % 3 = 1 THEN sha256(text || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '!' END) END AS wanted,
+_VERIFY = """SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN sha256(text) END AS actual, CASE WHEN doc_id % 6 = 0 THEN upper(sha256(text)) WHEN doc_id % 3 = 0 THEN sha256(text) WHEN doc_id % 3 = 1 THEN sha256(text || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '!' END) END AS wanted,
  CASE WHEN doc_id % 7 = 0 THEN n_chars <> 7 END AS valid FROM documents"""
-_STATUS = "CASE WHEN NOT coalesce(valid, TRUE) THEN 'invalid' WHEN wanted IS NULL THEN 'inspected' WHEN wanted = actual THEN 'verified' ELSE 'mismatch' END"
+_STATUS = "CASE WHEN valid = FALSE THEN 'invalid' WHEN wanted IS NOT NULL AND NOT coalesce(lower(wanted) = actual, FALSE) THEN 'mismatch' WHEN wanted IS NOT NULL OR valid THEN 'verified' ELSE 'inspected' END"
 
 
 def _verified(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     changed = F.concat("text", F.when(F.col("doc_id") % 2 == 0, "").otherwise("!"))
-    wanted = F.when(F.col("doc_id") % 3 == 0, hashing.sha256(F.col("text"))).when(F.col("doc_id") % 3 == 1, hashing.sha256(changed))
-    rows = docs.select("doc_id", hashing.sha256(F.col("text")).alias("actual"), wanted.alias("wanted"), F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") != 7).alias("valid"))
+    wanted = F.when(F.col("doc_id") % 6 == 0, F.upper(hashing.sha256(F.col("text")))).when(F.col("doc_id") % 3 == 0, hashing.sha256(F.col("text"))).when(F.col("doc_id") % 3 == 1, hashing.sha256(changed))
+    rows = docs.select("doc_id", F.when(F.col("doc_id") % 11 != 0, hashing.sha256(F.col("text"))).alias("actual"), wanted.alias("wanted"), F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") != 7).alias("valid"))
     none = F.lit(None).cast("long")
     return rows.withColumn("status", verify.status(F.col("valid"), verify.matched(F.col("actual"), none, F.col("wanted"), none)))
 
 
-@query(f"SELECT doc_id, {_STATUS} AS status, CASE WHEN wanted IS NOT NULL THEN 'manifest' WHEN valid IS NOT NULL THEN 'structural' ELSE 'hash' END AS level FROM ({_VERIFY})")
+@query(f"SELECT doc_id, {_STATUS} AS status, CASE WHEN wanted IS NOT NULL THEN 'manifest' WHEN valid THEN 'structural' ELSE 'hash' END AS level FROM ({_VERIFY})")
 def verify_status(spark: SparkSession, d: str) -> DataFrame:
     return _verified(spark, d).select("doc_id", "status", verify.level(F.col("wanted"), F.col("valid")).alias("level"))
 
@@ -301,16 +301,28 @@ _GAPS = "SELECT l_orderkey AS id, CASE l_orderkey % 3 WHEN 0 THEN 'complete' WHE
 
 
 @query(f"""WITH h AS (SELECT id, min(status) AS s, bool_or(disposition = 'planned') AS p, bool_or(disposition = 'external') AS e FROM ({_GAPS}) GROUP BY id)
-SELECT * FROM (SELECT id, CASE WHEN s = 'complete' AND (p OR e) THEN 'complete-has-gaps' WHEN s = 'partial' AND NOT p THEN 'partial-lacks-planned' WHEN s = 'blocked' AND NOT e THEN 'blocked-lacks-external' END AS rule FROM h) WHERE rule IS NOT NULL""")
+SELECT id, 'complete-has-planned' AS rule FROM h WHERE s = 'complete' AND p UNION ALL SELECT id, 'complete-has-external' FROM h WHERE s = 'complete' AND e
+UNION ALL SELECT id, 'partial-lacks-planned' FROM h WHERE s = 'partial' AND NOT p UNION ALL SELECT id, 'blocked-lacks-external' FROM h WHERE s = 'blocked' AND NOT e""")
 def gap_set_rules(spark: SparkSession, d: str) -> DataFrame:
     gaps = table(spark, d, "lineitem").selectExpr("l_orderkey as id", "case l_orderkey % 3 when 0 then 'complete' when 1 then 'partial' else 'blocked' end as status", "case l_returnflag when 'N' then 'planned' when 'R' then 'external' else 'other' end as disposition")
     return semantic.gap_rules(gaps, "id", "status", "disposition")
 
 
-@query("SELECT a.path, b.path AS companion FROM (SELECT *, c_custkey // 3 AS dir, c_custkey::VARCHAR AS path FROM customer) a JOIN (SELECT *, c_custkey // 3 AS dir, c_custkey::VARCHAR AS path FROM customer) b ON a.dir = b.dir AND a.c_nationkey // 5 = b.c_nationkey // 5 AND a.path <> b.path")
+_NAMED = "SELECT c_custkey // 12 AS dir, 'f' || (c_custkey // 4) || ['.dat', '.dat.idx', '.tar.gz', ''][c_custkey % 4 + 1] AS name, (c_custkey // 12) || '/f' || (c_custkey // 4) || ['.dat', '.dat.idx', '.tar.gz', ''][c_custkey % 4 + 1] AS path FROM customer"
+
+
+@query(f"""WITH f AS ({_NAMED}), o AS (SELECT *, regexp_replace(name, '\\.[^.]*$', '') AS base FROM f)
+SELECT a.path, b.path AS companion FROM o a JOIN f b ON a.dir = b.dir AND a.path <> b.path AND a.base <> '' AND starts_with(b.name, a.base || '.')""")
 def companion_stem_join(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 3).alias("dir"), F.floor(F.col("c_nationkey") / 5).alias("stem"), F.col("c_custkey").cast("string").alias("path"))
-    return semantic.companions(files, "dir", "stem", "path")
+    ending = F.element_at(F.array(*map(F.lit, [".dat", ".dat.idx", ".tar.gz", ""])), (F.col("c_custkey") % 4 + 1).cast("int"))
+    folder, name = F.floor(F.col("c_custkey") / 12), F.concat(F.lit("f"), F.floor(F.col("c_custkey") / 4), ending)
+    files = table(spark, d, "customer").select(folder.alias("dir"), name.alias("name"), F.concat_ws("/", folder, name).alias("path"))
+    return semantic.companions(files, "dir", "name", "path")
+
+
+@query(f"WITH p AS ({_PLAN}) SELECT 'maxDecodedBytesPerResource' AS budget, 120::BIGINT AS allowed, size AS actual FROM p WHERE status = 'ready' AND size > 120 UNION ALL SELECT DISTINCT 'maxDecodedBytesPerResource', 120::BIGINT, NULL::BIGINT FROM p WHERE status = 'ready' AND size IS NULL")
+def resource_budget_violations(spark: SparkSession, d: str) -> DataFrame:
+    return plan.resource_violations(_plan(spark, d), F.col("status"), F.col("size"), 120)
 
 
 _PARTS = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size, coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lineitem"

@@ -296,7 +296,7 @@ class Registry:
             by_sig = any(data[o : o + len(s)] == s for s, o in r.signatures)
             by_ext = ext in r.extensions
             if r.signatures:
-                ok = by_sig or (r.ext_fallback and by_ext)
+                ok = by_sig or r.ext_fallback
             else:
                 ok = by_ext or not r.extensions
             if ok and (by_ext or not r.ext_only):

@@ -9,7 +9,7 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
-from .archives import InvalidArchive, Unsupported, default_registry
+from .archives import default_registry
 from .tables import ENTRY
 
 
@@ -38,11 +38,11 @@ class EntryReader(DataSourceReader):
         if self.formats is not None:
             known.readers = [r for r in known.readers if r.format_id in self.formats]
         for path in partition.paths:
-            with open(path, "rb") as f:
-                data = f.read()
             try:
+                with open(path, "rb") as f:
+                    data = f.read()
                 reader, entries, _, _ = known.open(data, path)
-            except (InvalidArchive, Unsupported):
+            except Exception:  # noqa: BLE001  one file doesn't stop the others
                 continue
             for i, e in enumerate(entries):
                 yield (path, reader.format_id, i, e.entry_id, e.path, e.raw_path, e.size, e.size_known, e.packed_size, e.compressed, e.encrypted, e.offset, e.checksum)

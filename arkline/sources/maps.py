@@ -124,10 +124,10 @@ def _split(schema: str) -> list[str]:
 
 
 def alias_rows(resources: DataFrame) -> DataFrame:
-    """A map row for each alias of each resource."""
-    rows = resources.select(F.monotonically_increasing_id().alias("_n"), "*").select("*", F.posexplode("aliases").alias("_p", "alias"))
+    """A map row for each alias of each resource; its number follows from the resource and the alias's place, however the rows are dealt."""
+    rows = resources.select("*", F.posexplode("aliases").alias("_p", "alias"))
     key = F.concat(F.coalesce("locale", F.lit("")), F.lit("\0"), F.col("alias"))
-    return rows.select((F.col("_n") * 1000 + F.col("_p")).cast("long").alias("row"), F.lit("core:alias").alias("subject_type"), key.alias("subject_key"), F.lit("core:aliasOf").alias("predicate"), F.lit("unknown").alias("resource_type"), F.col("path").alias("resource_path"), F.col("alias").alias("subject_name"), "entry_id", "root_id", F.lit(None).cast("boolean").alias("override"))
+    return rows.select(F.xxhash64("root_id", "path", "entry_id", "locale", "_p", "alias").alias("row"), F.lit("core:alias").alias("subject_type"), key.alias("subject_key"), F.lit("core:aliasOf").alias("predicate"), F.lit("unknown").alias("resource_type"), F.col("path").alias("resource_path"), F.col("alias").alias("subject_name"), "entry_id", "root_id", F.lit(None).cast("boolean").alias("override"))
 
 
 def search(resources: DataFrame, query: str, root_id: str | None = None, locale: str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:

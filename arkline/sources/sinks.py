@@ -40,9 +40,11 @@ def install(target: str, data: bytes, overwrite: bool = False) -> str:
 def write_files(rows: DataFrame, root: str, policy: str = "fail") -> DataFrame:
     """Writes ``path`` and ``bytes`` of each row below a shared folder; a row that fails doesn't stop the others.
 
-    ``policy`` for files that are there: fail, skip or overwrite.  Unsafe paths and paths that two rows share fail before anything is written."""
-    n = rows.groupBy("path").agg(F.count("*").alias("_n"))
-    checked = rows.join(n, "path").select("path", "bytes", (paths.unsafe(F.col("path")) | (F.col("_n") > 1)).alias("bad"))
+    ``policy`` for files that are there: fail, skip or overwrite.  Null and unsafe paths, and those that two rows share once both slashes are read
+    as one, fail before anything is written."""
+    keyed = rows.withColumn("_to", F.coalesce(paths.normalised(F.col("path")), F.lit("")))
+    n = keyed.groupBy("_to").agg(F.count("*").alias("_n"))
+    checked = keyed.join(n, "_to").select("path", "bytes", (paths.unsafe(F.col("_to")) | (F.col("_n") > 1)).alias("bad"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,17 +83,18 @@ def write_report(rows: DataFrame, folder: str) -> str:
 
 def write_catalog(records: DataFrame, folder: str, header: dict) -> str:
     """Writes a catalog's JSON lines, in order of id, into a folder named by their digest.  The same content is written once."""
-    from ..functions.hashing import canonical, digest
+    from ..functions.hashing import canonical, digest_of
 
     head = canonical({"kind": "header", "schemaVersion": 1} | header)
     lines = records.select(F.col("id"), F.to_json(F.struct(*records.columns)).alias("value"))
-    name = hashlib.sha256(f"{head}\n{lines.agg(digest(F.col('value'))).first()[0]}".encode()).hexdigest()
+    name = hashlib.sha256(f"{head}\n{digest_of(lines, F.col('value'))}".encode()).hexdigest()
     target = f"{folder.rstrip('/')}/{name}.jsonl"
     spark = records.sparkSession
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")):
+        # a folder without that mark was left half written
         first = spark.createDataFrame([("", head)], "id string, value string")
-        first.unionByName(lines).orderBy("id").select("value").write.text(target)
+        first.unionByName(lines).orderBy("id").select("value").write.mode("overwrite").text(target)
     return target
 
 

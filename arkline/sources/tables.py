@@ -69,7 +69,7 @@ def entries(files: DataFrame, registry: Callable[[], Registry] = default_registr
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     reader, found, _, _ = known.open(bytes(content), path)
-                except (InvalidArchive, Unsupported):
+                except Exception:  # noqa: BLE001  ``detected`` has a row for what can't be opened; one file doesn't stop the others
                     continue
                 rows = [(path, reader.format_id, i, e.entry_id, e.path, e.raw_path, e.size, e.size_known, e.packed_size, e.compressed, e.encrypted, e.offset, e.checksum) for i, e in enumerate(found)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
