@@ -313,8 +313,13 @@ def test_fingerprints(spark):
     assert len(got) == len(rows())
     texts = sorted({(-(1 << 63) if r[0] is None else r[0]) for r in rows()}, reverse=True)
     by = {r[0]: r[1] or "" for r in rows() if r[0] not in (10, 9, None)}
+    marks = {r.doc_id: r.fingerprint for r in got}
     for r in got:
         if r.doc_id in by and r.doc_id - 1 in by:
+            plain = fingerprints.Fingerprint()
+            own, after, mixed_text = plain([by[r.doc_id], by[r.doc_id - 1], fingerprints.edited(by[r.doc_id], by[r.doc_id - 1])])
+            assert (r.fingerprint, r.edited_fingerprint, marks[r.doc_id - 1]) == (own.tobytes().hex(), mixed_text.tobytes().hex(), after.tobytes().hex())
+            assert (r.near_edited, r.near_next) == (fingerprints.likeness(own, mixed_text), fingerprints.likeness(own, after))
             a, b = by[r.doc_id], by[r.doc_id - 1]
             h = len(a) // 2
             new = a[: len(a) - h] + b[:h]
@@ -475,6 +480,69 @@ def test_near_dups_chain_of_copies(spark):
     assert many(near_dups.grouped(documents(spark, docs))) == Counter(near_groups(docs))
 
 
+def test_near_dups_with_hot_keys(spark, monkeypatch):
+    """The same with stars made in each task, as keys have that very many rows share."""
+    import random
+
+    from arkline.llm import buckets
+
+    from .data import words
+
+    monkeypatch.setattr(buckets, "LOCAL", 3)
+    monkeypatch.setattr(buckets, "CHUNK", 400)
+    rng = random.Random(10)
+    base = words(rng, 60).split()
+    docs = []
+    for i in range(80):
+        text = list(base)
+        for _ in range(rng.randint(0, 9)):
+            text[rng.randrange(60)] = f"d{i}x{rng.randrange(99)}"
+        docs.append((i, " ".join(text), None, None, 0, None, None, None))
+    assert many(near_dups.grouped(documents(spark, docs))) == Counter(near_groups(docs))
+
+
+def test_buckets_against_brute_force(spark, monkeypatch):
+    from arkline.llm import buckets
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(c)) for k, c in zip(rng.integers(0, 40, 600) ** 2, rng.integers(0, 90, 600), strict=True)] + [(7, c) for c in range(300)]
+    df = spark.createDataFrame(rows, "key long, c long").repartition(5)
+    members = lambda b: (b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64))
+    want = defaultdict(set)
+    for k, c in rows:
+        want[k].add(c)
+    for local, chunk in ((64, 1 << 19), (2, 100)):
+        monkeypatch.setattr(buckets, "LOCAL", local)
+        monkeypatch.setattr(buckets, "CHUNK", chunk)
+        got, edges = defaultdict(set), defaultdict(set)
+        for r in buckets.bucketed(df, members, len(rows)).collect():
+            got[r.key].add(r.c)
+            edges[r.key].add((r.c, r.lead))
+        assert got == {k: v for k, v in want.items() if len(v) > 1}
+        for k, links in edges.items():  # the stars of a key hang together
+            reached, size = {next(iter(got[k]))}, 0
+            while size < len(reached):
+                size = len(reached)
+                reached |= {x for e in links if reached & {*e} for x in e}
+            assert reached == got[k]
+    stars = spark.createDataFrame([(1, 1, 1, 5), (1, 2, 1, 6), (2, 1, 1, 5), (2, 2, 1, 6), (2, 3, 1, 7), (3, 1, 1, 5), (3, 2, 1, 6), (3, 3, 1, 6), (4, 1, 1, 5), (4, 2, 1, 5), (4, 3, 3, 7), (4, 4, 3, 7)], "key long, c long, lead long, comp long")
+    assert sorted(r.key for r in buckets.splits(stars).collect()) == [2, 4]
+
+
+def test_very_long_texts_are_hashed_in_pieces(monkeypatch):
+    import random
+
+    from .data import words
+
+    rng = random.Random(2)
+    texts = [words(rng, n) for n in (0, 1, 4, 5, 300)] + ["z" * 5000, "a " + "Y" * 700 + " b " * 300, "w" * 256 + " q", "k" * 257, None, "\t\n " * 400]
+    whole = [x.tolist() for x in shingles.hashed(texts)]
+    monkeypatch.setattr(shingles, "SLICE", 256)
+    shingles.powers.cache_clear()
+    assert [x.tolist() for x in shingles.hashed(texts)] == whole
+    shingles.powers.cache_clear()
+
+
 def test_near_dups_null_id_shares_a_text(spark):
     """A class whose rows have null and other ids, with a near copy, and one of null ids only."""
     import random
