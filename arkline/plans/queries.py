@@ -188,12 +188,17 @@ def plan_totals(spark: SparkSession, d: str) -> DataFrame:
     return plan.totals(_plan(spark, d), F.col("status"), F.col("packed"), F.col("size"))
 
 
+def _shown(broken: DataFrame) -> DataFrame:
+    """Violations with the word unknown for what isn't known."""
+    return broken.withColumn("actual", F.coalesce(F.col("actual").cast("string"), F.lit("unknown")))
+
+
 _LIMITS = {"maxResources": ("ready_count", 1000), "maxPackedBytes": ("packed_bytes", 1 << 40), "maxOutputBytes": ("output_bytes", 1 << 20), "maxUnknown": ("unknown_count", 10)}
 
 
-@query(f"WITH t AS (SELECT {_TOTALS} FROM ({_PLAN})), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS budget, {n}::BIGINT AS allowed, {c}::BIGINT AS actual FROM t" for k, (c, n) in _LIMITS.items()) + ") SELECT * FROM c WHERE actual IS NULL OR actual > allowed")
+@query(f"WITH t AS (SELECT {_TOTALS} FROM ({_PLAN})), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS budget, {n}::BIGINT AS allowed, {c}::BIGINT AS actual FROM t" for k, (c, n) in _LIMITS.items()) + ") SELECT budget, allowed, coalesce(actual::VARCHAR, 'unknown') AS actual FROM c WHERE actual IS NULL OR actual > allowed")
 def budget_violations(spark: SparkSession, d: str) -> DataFrame:
-    return plan.violations(plan_totals(spark, d), _LIMITS)
+    return _shown(plan.violations(plan_totals(spark, d), _LIMITS))
 
 
 _VERIFY = """SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN sha256(text) END AS actual, CASE WHEN doc_id % 6 = 0 THEN upper(sha256(text)) WHEN doc_id % 3 = 0 THEN sha256(text) WHEN doc_id % 3 = 1 THEN sha256(text || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '!' END) END AS wanted,
@@ -320,9 +325,9 @@ def companion_stem_join(spark: SparkSession, d: str) -> DataFrame:
     return semantic.companions(files, "dir", "name", "path")
 
 
-@query(f"WITH p AS ({_PLAN}) SELECT 'maxDecodedBytesPerResource' AS budget, 120::BIGINT AS allowed, size AS actual FROM p WHERE status = 'ready' AND size > 120 UNION ALL SELECT DISTINCT 'maxDecodedBytesPerResource', 120::BIGINT, NULL::BIGINT FROM p WHERE status = 'ready' AND size IS NULL")
+@query(f"WITH p AS ({_PLAN}) SELECT 'maxDecodedBytesPerResource' AS budget, 120::BIGINT AS allowed, size::VARCHAR AS actual FROM p WHERE status = 'ready' AND size > 120 UNION ALL SELECT DISTINCT 'maxDecodedBytesPerResource', 120::BIGINT, 'unknown' FROM p WHERE status = 'ready' AND size IS NULL")
 def resource_budget_violations(spark: SparkSession, d: str) -> DataFrame:
-    return plan.resource_violations(_plan(spark, d), F.col("status"), F.col("size"), 120)
+    return _shown(plan.resource_violations(_plan(spark, d), F.col("status"), F.col("size"), 120))
 
 
 _PARTS = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size, coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lineitem"
