@@ -102,6 +102,11 @@ def selected_ids(entries: DataFrame, ids: DataFrame, key: str, types: list[str]
     return out.where(F.col("resource_type").isNull() | F.col("resource_type").isin(types)) if types else out
 
 
+def decoded_size(declared: Column, size: Column, size_known: Column) -> Column:
+    """The declared number of decoded bytes (digits only), else the size where it isn't unknown, else null."""
+    return F.when(declared.rlike("^[0-9]+$"), declared.try_cast("decimal(38,0)")).when(F.coalesce(size_known, F.lit(True)), size.cast("decimal(38,0)"))
+
+
 def placed(offset: Column, size: Column, end: Column) -> Column:
     """Whether a range lies in a file."""
     return (offset < end) & (size <= end) & (offset <= end - size)

@@ -39,6 +39,12 @@ def resource_violations(items: DataFrame, status: Column, size: Column, most: in
     return ready.where("actual > allowed").unionAll(ready.where("actual is null").distinct())
 
 
+def over_sources(plans: DataFrame) -> DataFrame:
+    """The totals of many plans (``totals``' columns) as one: an output of unknown size counts as 0, and is null only where any item's size is unknown."""
+    out = plans.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ready_count", "skipped_count", "failed_count", "packed_bytes", "unknown_count")], F.coalesce(F.sum("output_bytes"), F.lit(0)).alias("_known"))
+    return out.withColumn("output_bytes", F.when(F.col("unknown_count") == 0, F.col("_known"))).drop("_known")
+
+
 def within_budgets(broken: DataFrame) -> None:
     """Raises LIMIT_EXCEEDED where ``violations`` has rows: a plan that exceeds its budgets, or can't prove them, isn't run."""
     got = broken.orderBy("budget").take(100)

@@ -36,6 +36,24 @@ def manifest_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
+# The fields of an expected entry that are compared where it has them.
+EXPECTED_FIELDS = ["size", "packed_size", "compressed", "encrypted", "checksum"]
+
+
+def listing_differences(expected: DataFrame, listed: DataFrame, path: str = "path", fields: list[str] = EXPECTED_FIELDS) -> DataFrame:
+    """(path, field, wanted, got) of all that differs.  Paths are compared as lists: one side's more frequent ones give a row with the field ``path`` and the two counts.
+    The other fields are compared where they are expected; of a path listed twice the last ``entry_pos`` counts."""
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])
+    n = lambda df, name: df.groupBy(path).agg(F.count("*").alias(name))
+    counts = n(expected, "_e").join(n(listed, "_l"), path, "full").where("not (_e <=> _l)")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    of_paths = counts.select(path, F.lit("path").alias("field"), number("_e").alias("wanted"), number("_l").alias("got"))
+    last = listed.groupBy(path).agg(F.max_by(F.map_from_entries(texts), "entry_pos").alias("_got"))
+    wanted = expected.select(path, F.explode(texts).alias("w")).select(path, "w.field", F.col("w.v").alias("wanted")).where("wanted is not null")
+    of_fields = wanted.join(last, path).withColumn("got", F.col("_got")[F.col("field")]).where("not (wanted <=> got)").select(path, "field", "wanted", "got")
+    return of_paths.unionByName(of_fields)
+
+
 def sniffed(content: Column) -> Column:
     """ogg, wav or bmp by the first bytes."""
     head = lambda n: F.substring(content, 1, n)

@@ -1,17 +1,21 @@
 """Each query applies an operator of this library to a whole table; ``SQL`` has the same for DuckDB.
 
 The given tables hold no archives, so each operator runs on the table that is most like its own: pages stand for files (url: path, html:
-content), documents for entries, events and orders for outcomes and plans, part and supplier for catalogs."""
+content), documents for entries, events and orders for outcomes and plans, part and supplier for catalogs.  The queries ``source_*`` read archives
+that are made of documents."""
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, paths
-from ..operators import detect, entries, plan, semantic, verify
+from ..functions import hashing, markup, paths
+from ..operators import classify, detect, entries, plan, semantic, support, verify
+from ..sources import tables as scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -371,3 +375,173 @@ def next_offset_sizes(spark: SparkSession, d: str) -> DataFrame:
 def path_safety(spark: SparkSession, d: str) -> DataFrame:
     path = F.expr("case entry_id % 4 when 0 then path when 1 then concat('../', path) when 2 then 'a/NUL.txt' else concat(path, '/x.png') end")
     return _files(spark, d).select("entry_id", paths.unsafe(path).alias("unsafe"))
+
+
+# A catalog of resources from parts: the tag is a name, extensions are brands, the signature is made of the size.
+_CATALOG = "SELECT p_partkey::INT AS row_no, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE p_name || p_partkey % 90 END AS tag, p_type AS resource_type, ['', p_brand || p_partkey % 40] AS exts, chr((65 + p_size % 26)::INT) || chr((97 + p_partkey % 26)::INT) || 'ea' AS sig FROM part"
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").selectExpr("cast(p_partkey as int) as row_no", "if(p_partkey % 5 = 0, p_name, concat(p_name, p_partkey % 90)) as tag", "p_type as resource_type", "array('', concat(p_brand, p_partkey % 40)) as extensions", "array(cast(concat(char(65 + p_size % 26), char(97 + p_partkey % 26), 'ea') as binary)) as signatures")
+
+
+@query(f"SELECT tag, min(resource_type) AS resource_type, min(exts[2]) AS ext FROM ({_CATALOG}) GROUP BY tag HAVING count(*) = 1")
+def unique_tag(spark: SparkSession, d: str) -> DataFrame:
+    return classify.unique_tags(_catalog(spark, d))
+
+
+@query(f"SELECT sig AS signature, min(resource_type) AS resource_type, min(exts[2]) AS ext FROM ({_CATALOG}) GROUP BY sig HAVING count(*) = 1")
+def unique_signature(spark: SparkSession, d: str) -> DataFrame:
+    return classify.unique_signatures(_catalog(spark, d)).withColumn("signature", F.col("signature").cast("string"))
+
+
+_EXT_ALIASES = "SELECT lower(exts[2]) AS given_ext, 1 AS position, tag || '0' AS tag FROM c WHERE row_no % 7 = 0"
+
+
+@query(f"""WITH c AS ({_CATALOG}), a AS ({_EXT_ALIASES}), e AS (SELECT lower(exts[2]) AS x, 0 AS k, row_no, resource_type FROM c UNION ALL SELECT given_ext, 2, row_no, resource_type FROM c JOIN a USING (tag)),
+t AS (SELECT x, min(resource_type) AS resource_type FROM e GROUP BY x HAVING count(DISTINCT resource_type) = 1)
+SELECT s_suppkey, resource_type FROM (SELECT s_suppkey, lower('Brand#' || s_suppkey % 25 || s_suppkey % 40) AS x FROM supplier) LEFT JOIN t USING (x)""")
+def extension_classify(spark: SparkSession, d: str) -> DataFrame:
+    catalog = _catalog(spark, d)
+    aliases = catalog.where("row_no % 7 = 0").selectExpr("lower(extensions[1]) as given_ext", "1 as position", "concat(tag, '0') as tag")
+    path = F.concat(F.lit("a.b/Brand.Brand#"), (F.col("s_suppkey") % 25).cast("string"), (F.col("s_suppkey") % 40).cast("string"))
+    return classify.by_extension(table(spark, d, "supplier").withColumn("path", path), "path", catalog, aliases).select("s_suppkey", "resource_type")
+
+
+@query(f"""WITH c AS ({_CATALOG}), u AS (SELECT sig, min(resource_type) AS rt, min(exts[2]) AS ext FROM c GROUP BY sig HAVING count(*) = 1)
+SELECT doc_id, rt AS resource_type, CASE WHEN rt IS NULL THEN 'd/n.' || doc_id ELSE 'd/n.' || ext END AS path FROM (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN substr(text, 1, 4) ELSE chr((65 + doc_id % 26)::INT) || chr((97 + doc_id % 23)::INT) || 'ea' END AS head FROM documents)
+LEFT JOIN u ON head = sig AND NOT starts_with(head, 'BM')""")
+def signature_classify(spark: SparkSession, d: str) -> DataFrame:
+    head = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 4)).otherwise(F.concat(F.expr("char(65 + doc_id % 26)"), F.expr("char(97 + doc_id % 23)"), F.lit("ea")))
+    files = table(spark, d, "documents").select("doc_id", F.encode(head, "UTF-8").alias("head"), F.concat(F.lit("d/n."), F.col("doc_id").cast("string")).alias("path"))
+    return classify.applied(classify.by_signature(files, "head", _catalog(spark, d)), "path").select("doc_id", "resource_type", "path")
+
+
+_NATIONS = f"SELECT format_id, reg_order, unnest(exts) AS ext FROM (VALUES {_FORMATS}) f(format_id, reg_order, exts, priority, fb, eo, hs)"
+
+
+@query(f"""WITH own AS ({_NATIONS}), a AS (SELECT DISTINCT lang AS ext, ['the', 'and', 'plain', 'any', 'none'][doc_id % 5 + 1] AS format_id FROM documents)
+SELECT ext, format_id, reg_order, FALSE AS aliased FROM own UNION ALL SELECT a.ext, a.format_id, r.reg_order, TRUE FROM a JOIN (SELECT format_id, reg_order FROM (VALUES {_FORMATS}) f(format_id, reg_order, exts, priority, fb, eo, hs)) r USING (format_id) WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.ext = a.ext AND o.format_id = a.format_id)""")
+def aliased_formats(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, ["the", "and", "plain", "any", "none"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return support.for_extension(formats(spark), table(spark, d, "documents").select(F.col("lang").alias("ext"), name.alias("format_id")))
+
+
+@query("SELECT n_nationkey, n_name, s_suppkey FROM nation LEFT JOIN supplier ON s_suppkey = n_nationkey * 3")
+def support_lookup(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("record"))
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name", (F.col("n_nationkey") * 3).cast("long").alias("k"))
+    return support.supported(nations, "k", records, "record").select("n_nationkey", "n_name", "s_suppkey")
+
+
+_GAP = "SELECT l_orderkey AS id, 'g' || l_suppkey % 6 AS code, CASE l_returnflag WHEN 'N' THEN 'planned' WHEN 'R' THEN 'external' ELSE 'other' END AS disposition FROM lineitem"
+
+
+@query(f"""WITH g AS ({_GAP}), t AS (SELECT 'g' || n AS code, CASE WHEN n % 2 = 0 THEN 'planned' ELSE 'external' END AS want FROM range(5) r(n))
+SELECT id, code, 'unknown-gap' AS issue FROM g WHERE code NOT IN (SELECT code FROM t) UNION ALL SELECT id, code, 'invalid-disposition' FROM g WHERE disposition = 'other'
+UNION ALL SELECT id, code, 'other-disposition' FROM g JOIN t USING (code) WHERE disposition <> want UNION ALL SELECT id, code, 'duplicate-gap' FROM (SELECT id, code, row_number() OVER (PARTITION BY id, code) AS n FROM g) WHERE n > 1""")
+def gap_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    gaps = table(spark, d, "lineitem").selectExpr("l_orderkey as id", "concat('g', l_suppkey % 6) as code", "case l_returnflag when 'N' then 'planned' when 'R' then 'external' else 'other' end as disposition")
+    taxonomy = spark.range(5).selectExpr("concat('g', id) as code", "if(id % 2 = 0, 'planned', 'external') as disposition")
+    return support.taxonomy_issues(gaps, "id", taxonomy, ["planned", "external"])
+
+
+@query("SELECT o_orderkey, bytes FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN o_custkey END AS bytes FROM orders WHERE o_orderstatus <> 'F') ORDER BY bytes ASC NULLS LAST, o_orderkey LIMIT 40")
+def pending_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "done").alias("status"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_custkey")).alias("bytes"))
+    return support.pending(rows, "status", "bytes", "o_orderkey").select("o_orderkey", "bytes")
+
+
+@query(f"SELECT sum(ready_count)::BIGINT AS ready_count, sum(packed_bytes)::BIGINT AS packed_bytes, sum(unknown_count)::BIGINT AS unknown_count, CASE WHEN sum(unknown_count) = 0 THEN sum(coalesce(output_bytes, 0))::BIGINT END AS output_bytes FROM (SELECT source, {_TOTALS} FROM ({_PLAN}) WHERE size IS NOT NULL GROUP BY source)")
+def source_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """The totals of each source's plan, then of all plans."""
+    items, ready = _plan(spark, d).where("size is not null"), F.col("status") == "ready"
+    plans = items.groupBy("source").agg(F.count_if(ready).alias("ready_count"), F.count_if(F.col("status") == "skipped").alias("skipped_count"), F.count_if(F.col("status") == "failed").alias("failed_count"), F.coalesce(F.sum(F.when(ready, F.col("packed"))), F.lit(0)).alias("packed_bytes"), F.count_if(ready & F.col("size").isNull()).alias("unknown_count"), F.sum(F.when(ready, F.col("size"))).alias("output_bytes"))
+    return plan.over_sources(plans).select("ready_count", "packed_bytes", "unknown_count", "output_bytes")
+
+
+@query("""WITH e AS (SELECT p_partkey AS path, p_size AS size, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS checksum FROM part WHERE p_partkey % 10 > 0), l AS (SELECT p_partkey AS path, p_size + (p_partkey % 4 = 1)::INT AS size, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS checksum FROM part WHERE p_partkey % 11 > 0)
+SELECT coalesce(e.path, l.path) AS path, 'path' AS field, (e.path IS NOT NULL)::INT::VARCHAR AS wanted, (l.path IS NOT NULL)::INT::VARCHAR AS got FROM e FULL JOIN l ON e.path = l.path WHERE e.path IS NULL OR l.path IS NULL
+UNION ALL SELECT path, 'size', e.size::VARCHAR, l.size::VARCHAR FROM e JOIN l USING (path) WHERE e.size <> l.size UNION ALL SELECT path, 'checksum', e.checksum, l.checksum FROM e JOIN l USING (path) WHERE e.checksum IS NOT NULL AND e.checksum IS DISTINCT FROM l.checksum""")
+def expected_entry_fields(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    wanted = part.where("p_partkey % 10 > 0").selectExpr("p_partkey as path", "p_size as size", "if(p_partkey % 3 > 0, p_brand, null) as checksum")
+    listed = part.where("p_partkey % 11 > 0").selectExpr("p_partkey as path", "p_size + if(p_partkey % 4 = 1, 1, 0) as size", "if(p_partkey % 5 > 0, p_brand, null) as checksum", "1 as entry_pos")
+    return verify.listing_differences(wanted, listed, fields=["size", "checksum"])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN n_chars * 2 WHEN doc_id % 5 > 0 THEN n_chars END::BIGINT AS bytes FROM documents")
+def decoded_sizes(spark: SparkSession, d: str) -> DataFrame:
+    declared = F.when(F.col("doc_id") % 3 == 0, (F.col("n_chars") * 2).cast("string")).otherwise("-1")
+    return table(spark, d, "documents").select("doc_id", entries.decoded_size(declared, F.col("n_chars"), F.col("doc_id") % 5 > 0).cast("long").alias("bytes"))
+
+
+@query("SELECT l_suppkey, o, CASE WHEN place < until THEN text END AS text FROM (SELECT *, max(place + span) FILTER (own) OVER (PARTITION BY l_suppkey, run) AS until, max(cell) OVER (PARTITION BY l_suppkey, run) AS text FROM (SELECT *, count(cell) OVER (PARTITION BY l_suppkey ORDER BY place) AS run, cell IS NOT NULL AS own FROM (SELECT l_suppkey, o, cell, span, row_number() OVER (PARTITION BY l_suppkey ORDER BY o) AS place FROM (SELECT l_suppkey, l_orderkey * 100 + l_linenumber AS o, CASE WHEN l_partkey % 3 = 0 THEN 'c' || l_partkey END AS cell, 1 + l_partkey % 4 AS span FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL)))))")
+def rowspan_carry(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    rows = lines.selectExpr("l_suppkey", "l_orderkey * 100 + l_linenumber as o", "if(p % 3 = 0, concat('c', p), null) as text", "1 + p % 4 as span")
+    return markup.carried(rows, ["l_suppkey"], ["o"], "text", "span").select("l_suppkey", "o", "text")
+
+
+_TAGLESS = r"regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p\s*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+_NAMED_SQL = _TAGLESS
+for _name, _char in markup.ENTITIES:
+    _NAMED_SQL = f"replace({_NAMED_SQL}, '{_name}', chr({ord(_char)}))"
+
+
+def _points(pattern: str, number: str) -> str:
+    """SQL that replaces the numeric entities of ``t`` by their code points."""
+    return f"array_to_string(list_transform(list_zip(string_split_regex(t, '{pattern}'), regexp_extract_all(t, '{pattern}', 1)), lambda x: x[1] || coalesce(chr({number}), '')), '')"
+
+
+@query(f"SELECT page_id, sha256(t) AS text_sha256 FROM (SELECT page_id, {_points('(?i)&#x([0-9a-f]+);', "('0x' || x[2])::INT")} AS t FROM (SELECT page_id, {_points('&#([0-9]+);', 'x[2]::INT')} AS t FROM (SELECT page_id, {_NAMED_SQL} AS t FROM pages)))")
+def html_cell_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", hashing.sha256(markup.decoded(markup.stripped(F.col("html")))).alias("text_sha256"))
+
+
+GROUP = 16
+
+
+def _archives(spark: SparkSession, d: str) -> DataFrame:
+    """Files of sixteen documents each: every fifth is no archive, the others are of two kinds of fixed index in turn, named by group."""
+
+    def build(key, rows):
+        group, docs = int(key[0]), [(f"d{i}.txt".encode(), t.encode()) for i, t in sorted(zip(rows["doc_id"], rows["text"].fillna(""), strict=True))]
+        n, body = len(docs), b"".join(t for _, t in docs)
+        if group % 5 == 4:
+            return pd.DataFrame({"path": [f"g{group}.bin"], "content": [b"\0none" + body]})
+        kind = group % 2
+        at = 16 + 32 * (n + 1) if kind else 8 + 40 * n
+        index = b"ADPACK32" + struct.pack("<II", 0, n + 1) if kind else b"PACK" + struct.pack("<I", n)
+        for name, text in docs:
+            index += struct.pack("<24s4xI", name, at) if kind else struct.pack("<32sII", name, len(text), at)
+            at += len(text)
+        index += struct.pack("<24s4xI", b"", at) if kind else b""
+        return pd.DataFrame({"path": [f"g{group}.pak"], "content": [index + body]})
+
+    grouped = table(spark, d, "documents").select(F.floor(F.col("doc_id") / GROUP).alias("g"), "doc_id", "text").groupBy("g")
+    return grouped.applyInPandas(build, "path string, content binary")
+
+
+_GROUPS = f"(SELECT doc_id, doc_id // {GROUP} AS g, doc_id % {GROUP} AS pos, coalesce(text, '') AS text FROM documents)"
+_ARCHIVE = "'g' || g || '.pak'"
+
+
+@query(f"SELECT CASE WHEN g % 5 = 4 THEN 'g' || g || '.bin' ELSE {_ARCHIVE} END AS source_path, CASE WHEN g % 5 = 4 THEN 'unrecognized' ELSE 'archive' END AS outcome, CASE WHEN g % 5 = 4 THEN NULL WHEN g % 2 = 1 THEN 'adpack32' ELSE 'cdpa-pack' END AS format_id, CASE WHEN g % 5 < 4 THEN 'high' END AS confidence, CASE WHEN g % 5 < 4 THEN count(*)::INT END AS entry_count FROM {_GROUPS} GROUP BY g")
+def source_detect(spark: SparkSession, d: str) -> DataFrame:
+    return scans.detected(_archives(spark, d)).select("source_path", "outcome", "format_id", "confidence", "entry_count")
+
+
+@query(f"SELECT {_ARCHIVE} AS source_path, (row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1)::VARCHAR AS entry_id, 'd' || doc_id || '.txt' AS path, strlen(text)::BIGINT AS size, FALSE AS compressed FROM {_GROUPS} WHERE g % 5 < 4")
+def source_entries(spark: SparkSession, d: str) -> DataFrame:
+    return scans.entries(_archives(spark, d)).select("source_path", "entry_id", "path", "size", "compressed")
+
+
+@query(f"""SELECT {_ARCHIVE} AS source_path, n.entry_id, CASE WHEN x.doc_id IS NULL THEN 'failed' ELSE 'extracted' END AS status, sha256(x.text) AS sha256, CASE WHEN x.doc_id IS NULL THEN 'ENTRY_NOT_FOUND' END AS error
+FROM (SELECT DISTINCT g, unnest(['0', '3', '99']) AS entry_id FROM {_GROUPS} WHERE g % 5 < 4) n LEFT JOIN (SELECT g AS h, doc_id, text, (row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1)::VARCHAR AS e FROM {_GROUPS}) x ON h = g AND e = entry_id""")
+def source_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The first, the fourth and an entry that isn't there, of each archive."""
+    files = _archives(spark, d)
+    named = table(spark, d, "documents").select(F.floor(F.col("doc_id") / GROUP).alias("g")).distinct().where("g % 5 < 4")
+    wanted = named.select(F.concat(F.lit("g"), F.col("g").cast("string"), F.lit(".pak")).alias("source_path"), F.explode(F.array(F.lit("0"), F.lit("3"), F.lit("99"))).alias("entry_id"))
+    return scans.extracted(files, wanted).select("source_path", "entry_id", "status", "sha256", "error")

@@ -4,9 +4,12 @@ The first record is the header; the others are entities, resources, relations, e
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
@@ -19,6 +22,9 @@ RECORD = (
 )
 
 
+MAX_BYTES, MAX_RECORDS = 256 << 20, 1_000_000
+
+
 @dataclass
 class Vocabulary:
     """Registered entity types and predicates; what isn't registered is kept, and not checked."""
@@ -27,12 +33,32 @@ class Vocabulary:
     #: predicate: (subject types, object types or None, whether literals are allowed)
     predicates: dict[str, tuple[list[str], list[str] | None, bool]]
 
+    #: type or predicate: of its JSON text (properties or qualifiers) an array of struct<path, message>
+    validators: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+    #: namespace: version
+    versions: dict[str, int] = field(default_factory=dict)
+
+    def names(self) -> list[tuple[str, int]]:
+        """The namespaces, sorted, each with its version."""
+        return sorted(self.versions.items())
+
+    def with_vocabulary(self, namespace: str, version: int, more: Vocabulary) -> Vocabulary:
+        """Both together; ValueError for a bad namespace or version, names outside the namespace, and what is registered already."""
+        if not re.fullmatch("[a-z][a-z0-9_-]*", namespace) or version < 1:
+            raise ValueError(f"Invalid vocabulary: {namespace}@{version}")
+        if namespace in self.versions:
+            raise ValueError(f"Vocabulary already registered: {namespace}")
+        for name in [*more.types, *more.predicates]:
+            if name.split(":")[0] != namespace or name in self.types or name in self.predicates:
+                raise ValueError(f"{name} is outside vocabulary {namespace} or registered already")
+        return Vocabulary([*self.types, *more.types], self.predicates | more.predicates, self.validators | more.validators, self.versions | {namespace: version})
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(p, s, o, lit) for p, (s, o, lit) in sorted(self.predicates.items())]
         return spark.createDataFrame(rows, "predicate string, subject_types array<string>, object_types array<string>, literal boolean")
 
 
-# The default vocabulary.
+# The default vocabulary; another may take its place.
 DEFAULT = Vocabulary(
     ["core:resource", "core:alias", "vn:game", "vn:character", "vn:dialogue", "vn:scene"],
     {
@@ -42,6 +68,7 @@ DEFAULT = Vocabulary(
         "vn:voiceResource": (["vn:character"], ["core:resource"], False),
         "vn:appearsIn": (["vn:character"], ["vn:scene"], False),
     },
+    versions={"core": 1, "vn": 1},
 )
 
 
@@ -52,6 +79,44 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("r.*", "line").where(F.col("kind") != "header")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1) and value of each line, blank ones included.
+
+    A file is read in blocks; the counts of its blocks, summed in order, say where each block's lines begin, so no file is read by one task."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    blocks = text.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return text.join(starts, ["file", "_block"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "value")
+
+
+def damaged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no and message of each line that isn't blank and holds no JSON object."""
+    kept = numbered_lines(spark, path).where(F.length("value") > 0)
+    parsed = F.from_json("value", "kind string, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    bad = kept.where(parsed["_broken"].isNotNull() | parsed.isNull())
+    return bad.select("file", "line_no", F.concat(F.lit("Invalid catalog JSON on line "), F.col("line_no").cast("string")).alias("message"))
+
+
+def load(spark: SparkSession, path: str, vocabulary: Vocabulary = DEFAULT, max_bytes: int = MAX_BYTES, max_records: int = MAX_RECORDS, check: bool = True) -> tuple[dict, Catalog]:
+    """The header and the catalog of a file or folder; raises ValueError for one that is too large, empty, damaged or not valid (the first 100 issues)."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    if size is None or size > max_bytes:
+        raise ValueError("LIMIT_EXCEEDED: the catalog is empty or too large" if size else "INVALID_ARGUMENT: the catalog is empty")
+    if bad := damaged_lines(spark, path).orderBy("file", "line_no").first():
+        raise ValueError(f"INVALID_ARGUMENT: {bad.message}")
+    first = numbered_lines(spark, path).where(F.length("value") > 0).orderBy("file", "line_no").first()
+    header = json.loads(first.value) if first else {}
+    if header.get("kind") != "header" or header.get("schemaVersion") != 1:
+        raise ValueError("INVALID_ARGUMENT: the first record is no header")
+    catalog = Catalog(lines(spark, path), vocabulary)
+    if catalog.records.count() > max_records:
+        raise ValueError("LIMIT_EXCEEDED: the catalog has too many records")
+    if check and (wrong := catalog.first_issues()):
+        raise ValueError("INVALID_ARGUMENT: " + "; ".join(f"{p}: {m}" for p, m in wrong))
+    return header, catalog
+
+
 class Catalog:
     def __init__(self, records: DataFrame, vocabulary: Vocabulary = DEFAULT) -> None:
         self.records, self.vocabulary, self.spark = records, vocabulary, records.sparkSession
@@ -78,7 +143,16 @@ class Catalog:
         missing = semantic.missing_evidence(self.relations, "id", F.col("evidenceIds"), self.evidence, "id")
         of_evidence = missing.select(F.concat("id", F.lit(".evidenceIds")).alias("path"), F.concat(F.lit("Evidence is missing: "), "evidence_id").alias("message"))
         doubled = semantic.duplicate_ids(self.records, "id").select(F.col("id").alias("path"), F.lit("Duplicate record ID").alias("message"))
-        return of_nodes.unionByName(of_relations).unionByName(of_evidence).unionByName(doubled)
+        out = of_nodes.unionByName(of_relations).unionByName(of_evidence).unionByName(doubled)
+        for name, validator in sorted(self.vocabulary.validators.items()):
+            rows, key, text = (self.relations, "predicate", "qualifiers") if name in self.vocabulary.predicates else (self.nodes, "type", "properties")
+            given = rows.where((F.col(key) == name) & F.col(text).isNotNull()).select("id", F.explode(validator(F.col(text))).alias("i"))
+            out = out.unionByName(given.select(F.concat("id", F.lit(f".{text}"), F.when(F.col("i.path") != "", F.concat(F.lit("."), "i.path")).otherwise("")).alias("path"), "i.message"))
+        return out
+
+    def first_issues(self, n: int = 100) -> list[tuple[str, str]]:
+        """The first issues, by path."""
+        return [(r.path, r.message) for r in self.issues().orderBy("path", "message").limit(n).collect()]
 
     def query(self, entity_type: str | None = None, resource_type: str | None = None, query: str | None = None, predicate: str | None = None, statuses: list[str] = ("verified", "user-confirmed")) -> tuple[DataFrame, DataFrame]:
         """The nodes and the relations that are asked for.

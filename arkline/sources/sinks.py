@@ -8,11 +8,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -81,6 +82,24 @@ def write_report(rows: DataFrame, folder: str) -> str:
     return target
 
 
+def read_report(spark: SparkSession, folder: str, name: str, schema: str, most: int = 64 << 20) -> DataFrame:
+    """The rows of a report by the name that ``write_report`` gave it; ValueError for any other name, and for a report above 64 MiB."""
+    if not re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\.report", name):
+        raise ValueError("INVALID_ARGUMENT: not the name of a report")
+    target = f"{folder.rstrip('/')}/{name}"
+    if (spark.read.format("binaryFile").load(target).agg(F.sum("length")).first()[0] or 0) > most:
+        raise ValueError("LIMIT_EXCEEDED: the report is too large")
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(target)
+
+
+def contained(root: str, path: str) -> str:
+    """The real path below a real root, links followed; ValueError if it lies outside."""
+    base, found = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    if os.path.commonpath([base, found]) != base:
+        raise ValueError(f"UNSAFE_PATH: {path}")
+    return found
+
+
 def write_catalog(records: DataFrame, folder: str, header: dict) -> str:
     """Writes a catalog's JSON lines, in order of id, into a folder named by their digest.  The same content is written once."""
     from ..functions.hashing import canonical, digest_of
