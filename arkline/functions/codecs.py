@@ -406,15 +406,53 @@ def bmp_header(data: bytes) -> tuple[int, int, int, int, int]:
 
 
 def read_bmp(data: bytes) -> tuple[int, int, int, bytes]:
-    """width, height, bits and packed rows from the top of an uncompressed BMP."""
+    """width, height, bits and packed rows from the top of a BMP, run-length or not."""
     start, width, height, bits, packing = bmp_header(data)
-    if packing not in (0, 3):
-        raise ValueError("a kind of BMP that isn't read")
+    if packing in (1, 2):
+        lines = _runs(data[start:], width, abs(height), bits)
+        return width, abs(height), bits, b"".join(lines[::-1] if height > 0 else lines)
     row, stride = (width * bits + 7) // 8, (width * bits + 31) // 32 * 4
     lines = [data[start + y * stride : start + y * stride + row] for y in range(abs(height))]
     return width, abs(height), bits, b"".join(lines[::-1] if height > 0 else lines)
 
 
+def _runs(data: bytes, width: int, height: int, bits: int) -> list[bytes]:
+    """The packed rows, as stored, of run-length pixels of 8 or 4 bits; pixels that are skipped are 0."""
+    pixels, x, y, at = [bytearray(width) for _ in range(height)], 0, 0, 0
+
+    def put(values: bytes) -> None:
+        nonlocal x
+        if y >= height or x + len(values) > width + 1:  # an odd run of half bytes may end one past the row
+            raise ValueError("a run beyond the picture")
+        pixels[y][x : x + len(values)] = values[: width - x]
+        x += len(values)
+
+    nibbles = lambda part: bytes(v for b in part for v in (b >> 4, b & 15))
+    while at + 2 <= len(data):
+        n, v = data[at], data[at + 1]
+        at += 2
+        if n:
+            put(bytes([v]) * n if bits == 8 else (nibbles([v]) * (n // 2 + 1))[:n])
+        elif v == 0:
+            x, y = 0, y + 1
+        elif v == 1:
+            break
+        elif v == 2:
+            if at + 2 > len(data):
+                raise ValueError("a step is cut short")
+            x, y, at = x + data[at], y + data[at + 1], at + 2
+        else:
+            size = v if bits == 8 else (v + 1) // 2
+            part = data[at : at + size]
+            if len(part) < size:
+                raise ValueError("a run is cut short")
+            put(part if bits == 8 else nibbles(part)[:v])
+            at += size + size % 2
+    if bits == 8:
+        return [bytes(p) for p in pixels]
+    return [bytes((p[i] << 4) | (p[i + 1] if i + 1 < width else 0) for i in range(0, width, 2)) for p in pixels]
+
+
 def write_wave(channels: int, rate: int, bits: int, pcm: bytes) -> bytes:
     align = channels * bits // 8
     form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, channels, rate, rate * align, align, bits)
@@ -447,8 +485,12 @@ def png_header(data: bytes) -> tuple[int, int, int, int, int, int, int]:
     return head
 
 
+# The seven passes of an interlaced PNG (first column and row, steps of both).
+ADAM7 = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
 def read_png(data: bytes) -> tuple[int, int, int, bytes]:
-    """width, height, bits of a pixel and unfiltered rows of a PNG that isn't interlaced."""
+    """width, height, bits of a pixel and unfiltered rows of a PNG, put in order if it is interlaced."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     at, packed, head = 8, b"", None
@@ -462,13 +504,36 @@ def read_png(data: bytes) -> tuple[int, int, int, bytes]:
         elif tag == b"IEND":
             break
         at += 12 + n
-    if not head or head[6]:
+    if not head or head[6] > 1 or head[3] not in (0, 2, 3, 4, 6):
         raise ValueError("a kind of PNG that isn't read")
-    width, height, depth, colour = head[:4]
+    width, height, depth, colour, _, _, laced = head
     bits = depth * {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    row, step = (width * bits + 7) // 8, max(1, bits // 8)
-    raw = inflate(packed, (row + 1) * height)
-    out, before = bytearray(), bytes(row)
+    passes = [p for p in (ADAM7 if laced else [(0, 0, 1, 1)]) if p[0] < width and p[1] < height]
+    sizes = [(-(-(width - x) // dx), -(-(height - y) // dy)) for x, y, dx, dy in passes]
+    raw = inflate(packed, sum(((w * bits + 7) // 8 + 1) * h for w, h in sizes))
+    if not laced:
+        return width, height, bits, b"".join(_unfiltered(raw, (width * bits + 7) // 8, height, bits))
+    stride = (width * bits + 7) // 8
+    out, at = bytearray(stride * height), 0
+    for (x, y, dx, dy), (w, h) in zip(passes, sizes, strict=True):
+        row = (w * bits + 7) // 8
+        for i, line in enumerate(_unfiltered(raw[at : at + (row + 1) * h], row, h, bits)):
+            place = (y + i * dy) * stride
+            if bits >= 8:
+                n = bits // 8
+                for k in range(n):
+                    out[place + x * n + k : place + stride : dx * n] = line[k : w * n : n]
+            else:
+                for j in range(w):
+                    pixel, to = line[j * bits // 8] >> (8 - bits - j * bits % 8) & ((1 << bits) - 1), (x + j * dx) * bits
+                    out[place + to // 8] |= pixel << (8 - bits - to % 8)
+        at += (row + 1) * h
+    return width, height, bits, bytes(out)
+
+
+def _unfiltered(raw: bytes, row: int, height: int, bits: int) -> Iterator[bytes]:
+    """The rows of a pass, each after a byte that names its filter."""
+    step, before = max(1, bits // 8), bytes(row)
     for y in range(height):
         kind, line = raw[y * (row + 1)], bytearray(raw[y * (row + 1) + 1 : (y + 1) * (row + 1)])
         for i in range(row if kind else 0):
@@ -483,9 +548,8 @@ def read_png(data: bytes) -> tuple[int, int, int, bytes]:
                 near = a + b - c
                 p = min((a, b, c), key=lambda v: (abs(near - v), (a, b, c).index(v)))
             line[i] = (line[i] + p) & 255
-        out += line
         before = bytes(line)
-    return width, height, bits, bytes(out)
+        yield before
 
 
 def dxt1(data: bytes, width: int, height: int) -> bytes:

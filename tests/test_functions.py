@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,40 @@ def test_tiff():
         ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + bytes(4)
         data = b"II*\0" + struct.pack("<I", 8 + len(body)) + body + ifd
         assert codecs.read_tiff(data) == (4, 3, 8, pixels)
+
+
+@pytest.mark.parametrize(("bits", "depth", "colour"), [(1, 1, 0), (2, 2, 3), (4, 4, 0), (8, 8, 3), (16, 8, 4), (24, 8, 2), (32, 8, 6), (64, 16, 6)])
+@pytest.mark.parametrize(("width", "height"), [(1, 1), (3, 2), (5, 9), (17, 8)])
+def test_interlaced_png(bits, depth, colour, width, height):
+    """Pixels dealt to seven passes, by their places in an 8 by 8 square, come back in order."""
+    order = ["16462646", "77777777", "56565656", "77777777", "36463646", "77777777", "56565656", "77777777"]
+    rng = np.random.default_rng(bits * width + height)
+    pixels = rng.integers(0, 2, (height, width, bits), dtype=np.uint8)
+    packed = b""
+    for step in "1234567":
+        for y in range(height):
+            line = [pixels[y, x] for x in range(width) if order[y % 8][x % 8] == step]
+            if line:
+                packed += b"\0" + np.packbits(np.concatenate(line)).tobytes()
+    chunk = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 1)
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(packed)) + chunk(b"IEND", b"")
+    want = b"".join(np.packbits(pixels[y].reshape(-1)).tobytes() for y in range(height))
+    assert codecs.read_png(png) == (width, height, bits, want)
+
+
+def _run_bmp(bits, packing, width, height, body):
+    colours = bytes(4 << bits)
+    start = 54 + len(colours)
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", start + len(body), 0, 0, start, 40, width, height, 1, bits, packing, len(body), 0, 0, 0, 0) + colours + body
+
+
+def test_run_length_bmp():
+    eight = b"\3\7\0\3\1\2\3\0" + b"\0\0" + b"\0\2\1\1" + b"\2\5\0\1"
+    assert codecs.read_bmp(_run_bmp(8, 1, 6, 3, eight)) == (6, 3, 8, bytes([0, 5, 5, 0, 0, 0]) + bytes(6) + bytes([7, 7, 7, 1, 2, 3]))
+    assert codecs.read_bmp(_run_bmp(8, 1, 6, -3, eight))[3][:6] == bytes([7, 7, 7, 1, 2, 3])
+    four = b"\3\x12\0\5\x34\x56\x70\0" + b"\0\1"
+    assert codecs.read_bmp(_run_bmp(4, 2, 8, 1, four)) == (8, 1, 4, bytes([0x12, 0x13, 0x45, 0x67]))
+    for body in (b"\7\1", b"\0\5\1", b"\0\2\1", b"\0\0\1\1"):
+        with pytest.raises(ValueError, match="cut short|beyond"):
+            codecs.read_bmp(_run_bmp(8, 1, 5, 1, body))

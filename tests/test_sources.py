@@ -274,8 +274,8 @@ def test_bmp_is_an_archive_of_one():
     assert found[0].format_id == "bmp" and len(found[1]) == 1
 
 
-def test_pictures_that_are_not_decoded_are_listed():
-    """Run-length BMP and interlaced PNG: an entry each, though their pixels aren't read; a broken header has none."""
+def test_pictures_are_listed_by_their_headers():
+    """Run-length BMP and interlaced PNG: an entry each; a broken header has none."""
     runs = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 1082, 0, 0, 1078, 40, 2, 2, 1, 8, 1, 4, 0, 0, 0, 0) + bytes(1024) + b"\2\0\0\0\2\0\0\1"
     chunk = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
     laced = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(b"\0\7")) + chunk(b"IEND", b"")
