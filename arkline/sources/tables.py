@@ -6,7 +6,6 @@ paths before any content is opened."""
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -91,8 +90,9 @@ def extracted(files: DataFrame, wanted: DataFrame, registry: Callable[[], Regist
                 out, data = [], bytes(content)
                 try:
                     reader, found, _, _ = known.open(data, path)
-                except (InvalidArchive, Unsupported) as e:
-                    out = [(path, i, None, None, "failed", str(e)) for i in want]
+                except Exception as e:  # noqa: BLE001  one file's failure is its own rows
+                    why = str(e) if isinstance(e, (InvalidArchive, Unsupported)) else f"{type(e).__name__}: {e}"
+                    out = [(path, i, None, None, "failed", why) for i in want]
                 else:
                     by = {e.entry_id: e for e in found}
                     for i in want:
@@ -102,7 +102,7 @@ def extracted(files: DataFrame, wanted: DataFrame, registry: Callable[[], Regist
                         try:
                             got = reader.read(data, by[i])
                             out.append((path, i, got, hashlib.sha256(got).hexdigest(), "extracted", None))
-                        except (ValueError, struct.error) as e:
+                        except Exception as e:  # noqa: BLE001  nor does one entry stop the others
                             out.append((path, i, None, None, "failed", f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(out, columns=["source_path", "entry_id", "bytes", "sha256", "status", "error"])
 

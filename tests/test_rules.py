@@ -80,11 +80,14 @@ def test_one_damaged_file_does_not_stop_a_scan(spark):
         def odd(data, path):
             if path.endswith("bad"):
                 raise RecursionError("deep")
-            return [archives.Entry("1", "n", 1, 1)]
+            return [archives.Entry("1", "n", 1, 1), archives.Entry("2", "m", 1, 1)]
 
-        return archives.Registry([archives.Reader("any", (), (), odd, lambda *a: b"")])
+        return archives.Registry([archives.Reader("any", (), (), odd, lambda data, e: {"1": b"!"}[e.entry_id])])
 
-    assert [r.source_path for r in tables.entries(files, registry).collect()] == ["b.good"]
+    assert {r.source_path for r in tables.entries(files, registry).collect()} == {"b.good"}
+    wanted = spark.createDataFrame([("a.bad", "1"), ("b.good", "1"), ("b.good", "2")], "source_path string, entry_id string")
+    got = sorted((r.source_path, r.entry_id, r.status, r.error) for r in tables.extracted(files, wanted, registry).collect())
+    assert got == [("a.bad", "1", "failed", "RecursionError: deep"), ("b.good", "1", "extracted", None), ("b.good", "2", "failed", "KeyError: '2'")]
 
 
 def test_sinks(spark, tmp_path):
