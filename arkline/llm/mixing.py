@@ -31,8 +31,9 @@ _KINDS = ["web", "code", "books", "news"]
 
 def domain_of(source: Column) -> Column:
     """The domain of a source: by its number, or ``other`` if its name has none."""
-    number = F.try_to_number(F.regexp_extract(source, "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int")
-    name = F.element_at(F.array(*map(F.lit, _KINDS)), (number % len(_KINDS) + 1).cast("int"))
+    number = F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("int")
+    # not element_at: over an array of literals, its generated code takes a null index for the last element
+    name = F.get(F.array(*map(F.lit, _KINDS)), number % len(_KINDS))
     return F.coalesce(name, F.lit("other"))
 
 

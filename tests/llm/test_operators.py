@@ -384,6 +384,12 @@ def test_mixing_budgets(spark):
     assert mixing.mixture(documents(spark, [])).collect() == []
 
 
+def test_domains_of_sources(spark):
+    given = {"src0": "web", "src5": "code", "a10": "books", "3": "news", "misc": "other", "": "other", None: "other", "7x": "other", "x\u0663": "other"}
+    df = spark.createDataFrame([(k, v) for k, v in given.items()], "source string, want string")
+    assert {r.want == r.got for r in df.withColumn("got", mixing.domain_of(df.source)).collect()} == {True}
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 10), ("web", "en", "b", 1000), ("web", "de", "c", 1000), ("books", "en", "d", 5)], "domain string, lang string, source string, tokens long")
     got = {r.source: r.budget for r in mixing.budgets(leaves, 0.5, 1, {"web": 0.5, "books": 0.5, "other": 0.1}, {"en": 0.5, "de": 0.5, "other": 0.1}).collect()}
