@@ -2,8 +2,8 @@ r"""Personal data by candidate gradient boosting, in DataFrame and SQL operation
 
 Base spans are exact formats with their checks.  Beside them, generators of high recall propose spans that may overlap: numbers
 that look like a phone, a card or an address, and mail addresses that are spelled out.  Boosted trees of its kind rate each proposal by its
-format and context.  They are fitted on the proposals of a bounded sample of documents (SAMPLE_DOCS, by a hash of doc_id; at
-most SAMPLE_SPANS proposals, by a hash of theirs).  Labels come from what a proposal's rating can't see or from evidence beside the base rules: one that meets a
+format and context.  They are fitted on the proposals of all documents, three quarters of them by a hash of the match; the last quarter sets the
+thresholds.  Labels come from what a proposal's rating can't see or from evidence beside the base rules: one that meets a
 base span of its kind is true, and what decides the base rule (a leading '+', '@' against a spelled-out one) is masked in its features; of the others,
 those that meet a base span of another kind, fail a check or stand in a longer number, code or an order, item or serial number are
 false, and phones and addresses behind a word such as "phone" or "mail" are true.  Proposals with no evidence aren't fitted, but
@@ -25,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Boosted, boosted, threshold
-from .common import keeping_columns, staged
+from .boosting import Boosted, learned, thresholds
+from .common import keeping_columns
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base formats.  Possessive repeats and looks behind give the same leftmost matches in linear time: a start inside a run
@@ -53,7 +53,7 @@ PROPOSALS = {
     "card": (r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{1,7}(?![0-9])", "true"),
     "phone": (r"(?<![0-9])(?:\+?[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", "true"),
 }
-SAMPLE_DOCS, SAMPLE_SPANS, PRECISION = 10_000, 20_000, 0.98
+PRECISION = 0.98
 #: True proposals that a threshold needs to do without base spans.
 LEAST = 20
 #: Pieces of a text whose lengths are summed together; even, so that matches stay the odd ones.
@@ -141,36 +141,30 @@ def _proposed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_c", F.expr(f"concat({', '.join(each)})")).drop(*[f"_q{k}" for k in KINDS])
 
 
-def fitted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> tuple[list[Boosted], list[float]]:
-    """The trees and the threshold of each kind."""
-    n = docs.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    # written first: else the proposals' filter is joined to the sample's, and is evaluated for all rows
-    some = staged(docs.select("doc_id", "text").where(part < int((1 << 20) * min(1, sample_docs / max(1, n)))), "sample")
-    rows = staged(_proposed(_based(some)).select(*[f"_{k}" for k in KINDS], "_c"), "proposals")
+def fitted(docs: DataFrame) -> tuple[list[Boosted], list[float]]:
+    """The trees and the threshold of each kind, from the proposals of all rows."""
+    rows = _proposed(_based(docs.select("text")))
     own = _of_kind({k: _meets_any(f"_{k}") for k in KINDS})
     other = " or ".join(_meets_any(f"_{k}") for k in KINDS)
     label = f"case when {own} then 1 when {other} or {_of_kind(AGAINST)} then 0 when {_of_kind(FOR)} then 1 end"
     # labelled within the array: exploded rows would each carry all spans of their text
-    each = f"transform(_c, c -> named_struct('y', {label}, 'b', cast({other} as int), 'o', xxhash64(c.m, c.s), 'h', xxhash64(c.m), {', '.join(f"'{n}', cast({f} as double)" for n, f in FEATURES.items())}))"
-    spans = rows.where("size(_c) > 0").select(F.expr(each).alias("c")).select(F.explode("c").alias("c")).where("c.y is not null")
-    got = spans.select("c.o", "c.y", F.pmod("c.h", F.lit(4)), "c.b", *[f"c.{n}" for n in FEATURES]).orderBy("o", "y").drop("o").limit(sample_spans).collect()
-    if not got:
-        return [Boosted(-10.0)] * len(KINDS), [float("inf")] * len(KINDS)
-    data = np.array(got, float)
-    y, seen, based, x = data[:, 0], data[:, 1] != 0, data[:, 2] != 0, data[:, 3:]
-    of = [x[:, 0] == i for i in range(len(KINDS))]
-    models = [boosted(x[seen & k], y[seen & k]) for k in of]
-    return models, [_cut(m.margin(x[~seen & k]), y[~seen & k], based[~seen & k]) for m, k in zip(models, of, strict=True)]
-
-
-def _cut(margin: np.ndarray, y: np.ndarray, based: np.ndarray) -> float:
-    """The threshold of one kind from its proposals that the trees didn't see; ``based`` are those that meet a base span."""
-    if y[~based].sum() >= LEAST:
-        margin, y = margin[~based], y[~based]
-    cut = threshold(margin, y, PRECISION)
+    x = ", ".join(f"cast({f} as double)" for f in FEATURES.values())
+    each = f"transform(_c, c -> named_struct('k', c.k, 'y', {label}, 'based', {other}, 'seen', pmod(xxhash64(c.m), 4) <> 0, 'x', array({x})))"
+    # outer: else a filter on the array is inferred, which makes the proposals a second time
+    spans = rows.select(F.expr(each).alias("c")).select(F.inline_outer("c")).where("y is not null")
+    models, scored = learned(spans, len(KINDS))
+    rest = scored.where("not seen")
+    # true proposals that meet no base span, by kind
+    true = dict(rest.where("not based").groupBy("k").agg(F.sum(F.col("w") * F.col("y"))).collect())
+    alone = [k for k, n in true.items() if n >= LEAST]
+    found = thresholds(rest.where(~F.col("based") | ~F.col("k").isin(alone)), PRECISION)
+    return models, [_cut(*found.get(k, (np.inf, -np.inf))) for k in range(len(KINDS))]
+
+
+def _cut(cut: float, least: float) -> float:
+    """The threshold of one kind; ``least`` is the lowest rating that it was set on."""
     # where all of them keep it, nothing is known against ratings below: as far as the trees themselves are as sure
-    return min(cut, float(np.log(PRECISION / (1 - PRECISION)))) if len(margin) and cut == margin.min() else cut
+    return min(cut, float(np.log(PRECISION / (1 - PRECISION)))) if cut == least else cut
 
 
 def spanned(docs: DataFrame) -> DataFrame:
