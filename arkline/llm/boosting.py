@@ -1,7 +1,7 @@
 """Gradient-boosted trees, fitted on arrays or on all rows of a table, and the same trees as a SQL expression.
 
 Features are cut at quantiles; each tree takes the splits of highest gain in the logistic loss.  ``boosted`` fits arrays in numpy.
-``learned`` fits the same trees on every row of a table, of any size: quantiles are exact, equal rows of bins are counted once, and for each
+``learned`` fits the same trees on every row of a table, of any size: quantiles are exact, from sorted ranges; equal rows of bins are counted once, and for each
 level of a tree the sums of gradients by node, feature and bin are aggregated where the rows lie, so the driver gets at most kinds x nodes x features
 x BINS of them.  ``Boosted.sql`` gives the margin as nested CASE expressions."""
 
@@ -20,6 +20,8 @@ BINS = 32
 UNIT = 1 << 24
 #: Different rows of bins that the driver sums itself.
 CELLS = 1 << 17
+#: Ranges over which the sorted values of a key are dealt.
+RANGES = 64
 
 
 @dataclass
@@ -118,6 +120,22 @@ def _cut_bins(tree, cuts: list[list[float]]):
     return (tree[0], cuts[tree[0]][tree[1]], _cut_bins(tree[2], cuts), _cut_bins(tree[3], cuts)) if isinstance(tree, tuple) else tree
 
 
+def _running(values: DataFrame, by: list[str], order: str, sums: list[str]) -> DataFrame:
+    """``values`` (different ``order`` for each ``by``, staged) with the running totals of ``sums``, exact.
+
+    Each key's rows are dealt over RANGES ranges and sorted in them, so that no key lands in one task; the bounds of the ranges are approximate
+    quantiles, which decide where a row is sorted and nothing else.  They are written, so that all reads see the same."""
+    points = [i / RANGES for i in range(1, RANGES)]
+    ends = staged(values.groupBy(*by).agg(F.percentile_approx(order, points, 1000).alias("_ends")), "ends")
+    dealt = values.join(F.broadcast(ends), by).withColumn("_range", F.expr(f"size(filter(_ends, e -> e < {order}))")).drop("_ends")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumns({f"to_{c}": F.sum(c).over(inside) for c in sums}).join(F.broadcast(totals), [*by, "_range"])
+    return dealt.withColumns({f"to_{c}": F.col(f"to_{c}") + F.col(f"_{c}") for c in sums})
+
+
 def _split(sums: np.ndarray, total: np.ndarray, ridge: float, least: int) -> tuple[int, int, np.ndarray] | None:
     """Feature, last bin below and the sums below of the best split; ``sums`` are g, h and n by feature and bin."""
     low = np.cumsum(sums, 2)[:, :, :-1]
@@ -196,12 +214,12 @@ def learned(rows: DataFrame, kinds: int, rounds: int = 30, depth: int = 3, rate:
     models = [Boosted(float(b)) for b in np.log(share / (1 - share))]
     live = [k for k in range(kinds) if counts[k].min() > 0]  # the others have one label only: a constant
 
-    # the values at the ranks that are quantiles; a window's rows are different values, sorted with spilling
+    # the values at the ranks that are quantiles
     values = cells.where("seen").where(F.col("k").isin(live)).selectExpr("k", "w", "posexplode(x) as (f, v)").groupBy("k", "f", "v").agg(F.sum("w").alias("w"))
-    values = values.withColumn("to", F.sum("w").over(Window.partitionBy("k", "f").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    values = _running(staged(values, "values"), ["k", "f"], "v", ["w"]) if live else values
     rank = f"cast(j * ({_by_kind({k: f'{int(n[k])}L' for k in live}, '1L')} - 1) div {BINS} as bigint)"
     cuts: dict[int, dict[int, list[float]]] = {k: {} for k in live}
-    for k, f, v in values.where(f"exists(sequence(1, {BINS - 1}), j -> {rank} < to and {rank} >= to - w)").select("k", "f", "v").orderBy("k", "f", "v").collect() if live else ():
+    for k, f, v in values.where(f"exists(sequence(1, {BINS - 1}), j -> {rank} < to_w and {rank} >= to_w - w)").select("k", "f", "v").orderBy("k", "f", "v").collect() if live else ():
         cuts[k].setdefault(f, []).append(v)
     width = max((len(c) for c in cuts.values()), default=0)
     table = {k: "array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in cuts[k][f]) + ")" for f in range(width)) + ")" for k in live}
@@ -241,9 +259,9 @@ def learned(rows: DataFrame, kinds: int, rounds: int = 30, depth: int = 3, rate:
 
 
 def thresholds(scored: DataFrame, precision: float) -> dict[int, tuple[float, float]]:
-    """``threshold`` of each kind from all rows (k, y, w, m) of a table, and the least margin; a window's rows are different margins."""
-    each = scored.groupBy("k", "m").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("good"))
-    down = Window.partitionBy("k").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
-    each = each.select("k", "m", (F.sum("good").over(down) / F.sum("n").over(down) >= precision).alias("ok"))
-    got = each.groupBy("k").agg(F.min(F.when(F.col("ok"), F.col("m"))), F.min("m")).collect()
-    return {k: (np.inf if cut is None else cut, least) for k, cut, least in got}
+    """``threshold`` of each kind from all rows (k, y, w, m) of a table, and the least margin."""
+    each = scored.groupBy("k", F.negative("m").alias("down")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("good"))
+    each = _running(staged(each, "margins"), ["k"], "down", ["n", "good"])
+    ok = F.col("to_good") / F.col("to_n") >= precision
+    got = each.groupBy("k").agg(F.max(F.when(ok, F.col("down"))), F.max("down")).collect()
+    return {k: (np.inf if cut is None else -cut, -least) for k, cut, least in got}
