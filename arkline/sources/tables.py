@@ -39,6 +39,16 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Files move to the readers in Arrow batches of at most this many bytes and one file more, whatever the input.
+BATCH_BYTES = 4 << 20
+
+
+def _batched(files: DataFrame, *columns: str) -> DataFrame:
+    """The columns of ``files`` that a map of whole files reads, in bounded batches: a worker holds a batch several times (Arrow, pandas, the one before)."""
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return files.select(*columns)
+
+
 def detected(files: DataFrame, registry: Callable[[], Registry] = default_registry) -> DataFrame:
     """The outcome of each file: archive, unrecognized or failure.  Candidates are tried in rank order until one opens."""
 
@@ -56,7 +66,7 @@ def detected(files: DataFrame, registry: Callable[[], Registry] = default_regist
                     rows.append((path, "failure", None, None, [], None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTION.split(", ")]).astype({"entry_count": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, DETECTION)
+    return _batched(files, "path", "content").mapInPandas(run, DETECTION)
 
 
 def entries(files: DataFrame, registry: Callable[[], Registry] = default_registry) -> DataFrame:
@@ -73,7 +83,7 @@ def entries(files: DataFrame, registry: Callable[[], Registry] = default_registr
                 rows = [(path, reader.format_id, i, e.entry_id, e.path, e.raw_path, e.size, e.size_known, e.packed_size, e.compressed, e.encrypted, e.offset, e.checksum) for i, e in enumerate(found)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
 
-    return files.select("path", "content").mapInPandas(run, ENTRY)
+    return _batched(files, "path", "content").mapInPandas(run, ENTRY)
 
 
 def extracted(files: DataFrame, wanted: DataFrame, registry: Callable[[], Registry] = default_registry) -> DataFrame:
@@ -81,7 +91,7 @@ def extracted(files: DataFrame, wanted: DataFrame, registry: Callable[[], Regist
 
     Wanted ids are gathered by file (as many as a file has), each file is opened once, and an entry that fails doesn't stop the others."""
     ids = wanted.groupBy("source_path").agg(F.collect_set("entry_id").alias("ids"))
-    rows = files.select("path", "content").join(ids, F.col("path") == F.col("source_path")).select("path", "content", "ids")
+    rows = files.select("path", "content").join(ids, F.col("path") == F.col("source_path"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = registry()
@@ -106,4 +116,4 @@ def extracted(files: DataFrame, wanted: DataFrame, registry: Callable[[], Regist
                             out.append((path, i, None, None, "failed", f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(out, columns=["source_path", "entry_id", "bytes", "sha256", "status", "error"])
 
-    return rows.mapInPandas(run, "source_path string, entry_id string, bytes binary, sha256 string, status string, error string")
+    return _batched(rows, "path", "content", "ids").mapInPandas(run, "source_path string, entry_id string, bytes binary, sha256 string, status string, error string")

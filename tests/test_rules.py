@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,22 @@ def test_one_damaged_file_does_not_stop_a_scan(spark):
     assert got == [("a.bad", "1", "failed", "RecursionError: deep"), ("b.good", "1", "extracted", None), ("b.good", "2", "failed", "KeyError: '2'")]
 
 
+def test_readers_get_few_bytes_of_files_at_once(spark, monkeypatch):
+    """However many files a partition has, a batch holds 4 MiB of them and one more."""
+    files = spark.range(0, 48, 1, 1).selectExpr("concat(id, '.any') as path", "cast(repeat(chr(97 + id % 26), 1048576) as binary) as content")
+    wanted = files.selectExpr("path as source_path", "'0' as entry_id")
+    mapped = type(files).mapInPandas
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"bytes": [int(batch["content"].map(len).sum())]})
+
+    monkeypatch.setattr(type(files), "mapInPandas", lambda self, run, schema: mapped(self, sizes, "bytes long"))
+    for given in (tables.detected(files), tables.entries(files), tables.extracted(files, wanted)):
+        found = [r.bytes for r in given.collect()]
+        assert sum(found) == 48 << 20 and max(found) <= 5 << 20
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a\\b", bytearray(b"1")), ("a/b", bytearray(b"2")), (None, bytearray(b"3")), ("c", bytearray(b"4"))], "path string, bytes binary")
     assert sorted((str(r.path), r.status) for r in sinks.write_files(rows, str(tmp_path / "x")).collect()) == [("None", "failed"), ("a/b", "failed"), ("a\\b", "failed"), ("c", "extracted")]
